@@ -11,6 +11,7 @@ from codekiln.llm.cross_split import CrossSplitParams, cross_split_overlaps, ove
 from codekiln.llm.formatting_duplicates import collapse_records, repeats
 from codekiln.llm.mixing import Mix, mix_sources
 from codekiln.llm.near_duplicates import NearDuplicateParams, NearDuplicates, group_rows, near_duplicates, row_pairs
+from codekiln.llm.sentences import sentence_units
 from codekiln.llm.splitting import split_texts
 from codekiln.plans.catalog import table
 
@@ -77,8 +78,16 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_sentences(spark, folder).select("doc_id", "start_at", "end_at")
+
+
+def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_units(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_groups, p6_found, p6_report, p7_found, p7_sets, p8_ids, p9_documents, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_groups, p6_found, p6_report, p7_found, p7_sets, p8_ids, p9_documents, p9_shares, p10_found, p10_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
