@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from codekiln.llm.answers import is_empty_answer
 from codekiln.llm.bpe import encode_corpus, load_merges, token_counts
 from codekiln.llm.cross_split import CrossSplitParams, cross_split_overlaps, overlap_report
 from codekiln.llm.formatting_duplicates import collapse_records, repeats
@@ -13,6 +15,7 @@ from codekiln.llm.mixing import Mix, mix_sources
 from codekiln.llm.near_duplicates import NearDuplicateParams, NearDuplicates, group_rows, near_duplicates, row_pairs
 from codekiln.llm.sentences import sentence_units
 from codekiln.llm.splitting import split_texts
+from codekiln.llm.syntax import error_rates, syntax_errors
 from codekiln.plans.catalog import table
 
 FIELDS = ["unoptimized", "optimized"]
@@ -29,6 +32,22 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(table(spark, folder, "code_pairs"), "pair_id", FIELDS)
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """code_pairs with answers that say nothing, given a prompt, as null: they are no files."""
+    pairs = table(spark, folder, "code_pairs").select("pair_id", "repo", "file_path", "unoptimized", "optimized")
+    return pairs.withColumn("optimized", F.when(~is_empty_answer(F.col("optimized")), F.col("optimized")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = syntax_errors(_files(spark, folder), "pair_id", "file_path", FIELDS)
+    return found.filter("checked and error_line is not null").select("pair_id", "field_name")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder)
+    return error_rates(files, syntax_errors(files, "pair_id", "file_path", FIELDS), "pair_id", "repo")
+
+
 def _near(spark: SparkSession, folder: str) -> NearDuplicates:
     return near_duplicates(table(spark, folder, "code_pairs"), "pair_id", "unoptimized", NEAR)
 
@@ -87,7 +106,7 @@ def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_groups, p6_found, p6_report, p7_found, p7_sets, p8_ids, p9_documents, p9_shares, p10_found, p10_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_rates, p5_found, p5_groups, p6_found, p6_report, p7_found, p7_sets, p8_ids, p9_documents, p9_shares, p10_found, p10_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
