@@ -13,6 +13,7 @@ from codekiln.llm.cross_split import CrossSplitParams, cross_split_overlaps, ove
 from codekiln.llm.formatting_duplicates import collapse_records, repeats
 from codekiln.llm.mixing import Mix, mix_sources
 from codekiln.llm.near_duplicates import NearDuplicateParams, NearDuplicates, group_rows, near_duplicates, row_pairs
+from codekiln.llm.pair_defects import pair_defects
 from codekiln.llm.sentences import sentence_units
 from codekiln.llm.splitting import split_texts
 from codekiln.llm.syntax import error_rates, syntax_errors
@@ -48,6 +49,14 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return error_rates(files, syntax_errors(files, "pair_id", "file_path", FIELDS), "pair_id", "repo")
 
 
+def p4_defects(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects(table(spark, folder, "code_pairs"), "pair_id", "unoptimized", "optimized")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_defects(spark, folder).filter("defect is not null")
+
+
 def _near(spark: SparkSession, folder: str) -> NearDuplicates:
     return near_duplicates(table(spark, folder, "code_pairs"), "pair_id", "unoptimized", NEAR)
 
@@ -106,7 +115,7 @@ def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_rates, p5_found, p5_groups, p6_found, p6_report, p7_found, p7_sets, p8_ids, p9_documents, p9_shares, p10_found, p10_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_rates, p4_found, p4_defects, p5_found, p5_groups, p6_found, p6_report, p7_found, p7_sets, p8_ids, p9_documents, p9_shares, p10_found, p10_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
