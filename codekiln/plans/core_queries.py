@@ -1,4 +1,4 @@
-"""Queries of the engine's own operators over whole tables, and the same in SQL."""
+"""All queries of the engine's own operators over whole tables, and the same in SQL."""
 
 from __future__ import annotations
 
@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codekiln.operators.nested import children, emit_records
+from codekiln.operators.nested import children, emit_records, flat_table
+from codekiln.plans import diagnostic_queries, profiling_queries
 from codekiln.plans.catalog import table
 
+MODULES = [profiling_queries, diagnostic_queries]
+
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return children(emit_records(table(spark, folder, "analyses")))
 
 
+def p2_code_smells(spark: SparkSession, folder: str) -> DataFrame:
+    return flat_table(emit_records(table(spark, folder, "analyses")), "code_smell")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found,)}
+    return {f.__name__: f for f in [p2_found, p2_code_smells, *(q for m in MODULES for q in m.QUERIES)]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
