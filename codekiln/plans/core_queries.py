@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codekiln.operators.nested import children, emit_records, flat_table
-from codekiln.plans import diagnostic_queries, profiling_queries, rule_queries, tree_queries
+from codekiln.plans import diagnostic_queries, profiling_queries, rule_queries, source_queries, tree_queries
 from codekiln.plans.catalog import table
 
-MODULES = [profiling_queries, diagnostic_queries, tree_queries, rule_queries]
+MODULES = [profiling_queries, diagnostic_queries, tree_queries, rule_queries, source_queries]
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
