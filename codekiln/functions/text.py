@@ -102,7 +102,7 @@ def largest_fence(x: Column) -> Column:
     """The longest fenced block's body, or the text as it is if there is none."""
     blocks = F.regexp_extract_all(x, F.lit(r"(?s)```[A-Za-z+#]*\r?\n(.*?)```"), F.lit(1))
     best = F.aggregate(blocks, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
-    return F.when(F.size(blocks) > 0, F.trim(best)).otherwise(F.trim(x))
+    return F.regexp_replace(F.when(F.size(blocks) > 0, best).otherwise(x), r"^\s+|\s+$", "")
 
 
 def severity_of(kind: Column) -> Column:

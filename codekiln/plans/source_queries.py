@@ -144,6 +144,6 @@ SQL = {
     "history_json_tolerant": "select event_id, case when event_id % 5 <> 0 then cast(json_extract(props, '$.k') as int) end as k from events",
     "text_transforms": """with s as (select doc_id, text, regexp_extract_all(text, '(?s)```[A-Za-z+#]*\\r?\\n(.*?)```', 1) as blocks from documents),
         b as (select *, (select arg_max(x, (length(x), -i)) from (select unnest(blocks) as x, generate_subscripts(blocks, 1) as i)) as best from s)
-        select doc_id, cast(case when length(text) > 300 then 300 + length('\n...output truncated...') else length(text) end as int) as cut, cast(length(trim(case when len(blocks) > 0 then best else text end, ' ')) as int) as fenced,
+        select doc_id, cast(case when length(text) > 300 then 300 + length('\n...output truncated...') else length(text) end as int) as cut, cast(length(regexp_replace(case when len(blocks) > 0 then best else text end, '^\\s+|\\s+$', '', 'g')) as int) as fenced,
         cast(length(text) - length(replace(text, '(', '')) - (length(text) - length(replace(text, ')', ''))) as int) as brackets, cast(length(replace(replace(replace(replace(replace(replace(text, '<', 'xleftangle'), '>', 'xrightangle'), '{', 'xleftbrace'), '}', 'xrightbrace'), '^', 'xcaret'), '~', 'xtilde')) as int) as escaped from b""",
 }

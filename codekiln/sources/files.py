@@ -27,7 +27,7 @@ def _relative(root: str) -> F.Column:
 
 
 def scan_sources(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), code of every source file below root, other than in a build folder."""
+    """path (relative), code of every source file below root, other than in a build folder. Spark passes over names with . or _ in front."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", SOURCE_GLOB).load(root)
     rows = read.select(_relative(root).alias("path"), F.decode("content", "UTF-8").alias("code"))
     return rows.filter(~F.concat(F.lit("/"), "path").contains("/build/"))
