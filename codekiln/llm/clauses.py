@@ -195,6 +195,7 @@ _REFUSALS = [
 ]
 _FOLLOW_UPS = ["Please ask the author of the {x}.", "Is there anything else you need?", "I can explain the {x} instead."]
 _TALK = ["Here is a quicker way to do it:", "Sure! The loop over the {x} is gone.", "I could not make it any faster than this, sorry for the wait:", "The result stays the same.", "This version uses a table for the {x}."]
+_ADVICE = ["The loop over the {x} could stop earlier.", "Keep the {x} in a table and look it up.", "A faster version would sort the {x} first.", "Change the {x} to a reference here."]
 _FOREIGN = [
     "Die Schleife über {x} läuft zu oft und sollte früher enden.",
     "La boucle sur {x} est inutile et la taille peut être gardée avant.",
@@ -255,6 +256,8 @@ def _training_sample(seed: int = 11) -> tuple[list[np.ndarray], list[np.ndarray]
             blocks = talk + [(b, label) for b in whole[:-1]] + [(cut[: max(cut.rfind("("), cut.rfind("{")) + 1], UNFINISHED)]
         elif kind == 6:
             blocks = talk + [(b, ECHO if b in prompt else ANSWER) for b in [prompt[0], *program(language)]]
+        elif kind == 8 and rng.random() < 0.5:
+            blocks = [(filled(rng.choice(_ADVICE)), ANSWER) for _ in range(rng.randint(1, 2))]
         else:
             blocks = talk + [(b, ANSWER) for b in program(language)] + talk * (kind == 7)
         _, features, _, _ = features_of("\n\n".join(prompt) + "\n", "\n\n".join(b for b, _ in blocks) + "\n" * (kind != 5))

@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, params: NearDuplicat
                 names_2.append(np.add.reduce(mix(own + np.uint64(len(own)))).astype(np.int64))
                 keys.append(key.astype(np.int64))
                 bodies.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"id": ids, "set_1": names_1, "set_2": names_2, "bands": keys, "signature": bodies})
+            yield pd.DataFrame({"id": ids, "set_1": names_1, "set_2": names_2, "bands": pd.Series(keys, dtype=object), "signature": pd.Series(bodies, dtype=object)})
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     return rows_in.mapInPandas(run, "id long, set_1 long, set_2 long, bands array<long>, signature binary")

@@ -108,8 +108,8 @@ def _cpp_other(token: str) -> str:
 _CPP = _Characters(_CPP_CHARACTERS, _cpp_other)
 #: Names of preprocessor directives.
 _DIRECTIVES = {"", "include", "define", "undef", "if", "ifdef", "ifndef", "elif", "else", "endif", "pragma", "error", "warning", "line", "import", "elifdef", "elifndef"}
-_DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(\w*)([^\n]*(?:\\\r?\n[^\n]*)*)", re.M)
-_OUTSIDE = re.compile(r'R"([^\s()\\"]{0,16})\((?:[^)]|\)(?!\1"))*\)\1"|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|//[^\n]*|"(?:[^"\\\n]|\\.)*"|^[ \t]*#[ \t]*(\w*)([^\n]*(?:\\\n[^\n]*)*)', re.M)
+_DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(\w*)((?:\\\r?\n|[^\n])*)", re.M)
+_OUTSIDE = re.compile(r'R"([^\s()\\"]{0,16})\((?:[^)]|\)(?!\1"))*\)\1"|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|//[^\n]*|"(?:[^"\\\n]|\\.)*"|^[ \t]*#[ \t]*(\w*)((?:\\\r?\n|[^\n])*)', re.M)
 
 
 def _lines_of(text: str) -> str:
@@ -149,7 +149,7 @@ def _keep_lines(put: str):
 
 _HEAD = re.compile(r"([SY])[^;{}()=]*\{")
 _TEMPLATE = re.compile(r"M\n*<(?:[^<>;{}]|<(?:[^<>;{}]|<[^<>;{}]*>)*>)*>")
-_TRAILING = re.compile(r"\)([c\n]*)-[it<>:*&cq,\n]+(?=\{)")
+_TRAILING = re.compile(r"\)([c\n]*)d[it<>:*cq,\n]*(?=\{)")
 
 
 def cpp_stream(text: str) -> str:
@@ -160,11 +160,13 @@ def cpp_stream(text: str) -> str:
         stream = _TEMPLATE.sub(_keep_lines(""), stream)
     if "S" in stream or "Y" in stream:
         stream = _HEAD.sub(lambda m: m[1] + _lines_of(m[0]) + "{", stream)
-    if "-" in stream:
+    if ")d" in stream or "cd" in stream:
         stream = _TRAILING.sub(lambda m: ")" + _lines_of(m[0]), stream)
     if "q" in stream:
         stream = stream.replace(">q", ">").replace("q", "i")
     # Four names in a row are prose, not a declaration.
+    while ">>" in stream:
+        stream = stream.replace(">>", ">")  # the ends of templates in templates; as an operator it is one, too
     return stream.replace("<>", "").replace("<", "o").replace(">", "o").replace("iiii", ILLEGAL + "iiii")
 
 
@@ -189,7 +191,8 @@ _JS = _Characters(
             "o": "/ % == != === !== < > <= >= << >> >>> || | ^ & && ?? += -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??= in of instanceof **",
             "a": "+ -",
             "*": "*",
-            "u": "! ~ typeof void delete new await yield async",
+            "u": "typeof void delete new await yield async",
+            "v": "! ~",
             "p": "++ --",
             "e": "...",
             ">": "=>",
@@ -226,7 +229,7 @@ def _js_other(token: str) -> str:
     if token.startswith("<!--"):
         return ""
     if first in "\"'`":
-        return "n" if len(token) > 1 else UNCLOSED if first == "`" else ILLEGAL
+        return ("g" if first == "`" else "n") if len(token) > 1 else UNCLOSED if first == "`" else ILLEGAL
     if "/" in token and not token.startswith("import"):
         return "n" if len(token.strip()) > 1 else "o"
     if first == ".":
@@ -255,7 +258,7 @@ def javascript_stream(text: str) -> str:
 _PY_TOKENS = re.compile(
     r"#[^\n]*"
     r'|[bBrRuUfF]{0,2}(?:"""(?:[^"\\]|\\(?:.|\n)|"(?!""))*(?:"""|\Z)|\'\'\'(?:[^\'\\]|\\(?:.|\n)|\'(?!\'\'))*(?:\'\'\'|\Z)|"(?:[^"\\\n]|\\(?:.|\n))*"|\'(?:[^\'\\\n]|\\(?:.|\n))*\')'
-    r"|\.\.\.|\.[ \t]*[^\W\d]\w*"
+    r"|\.\.\.|\.[ \t]*(?!import\b)[^\W\d]\w*"
     r"|(?:\d|\.\d)(?:[eE][+-](?=\d)|[\w.])*"
     r"|[^\W\d]\w*"
     r"|\\\r?\n|\*\*=|//=|>>=|<<=|->|:=|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%&|^@]=|[-+*/%&|^=<>~@:;,.(){}\[\]]|\n[ \t\f]*|[^\s﻿]"
@@ -263,12 +266,12 @@ _PY_TOKENS = re.compile(
 _PY_FIXED = _table(
     {
         "n": "None True False",
-        "o": "in is and or == != <= >= < > / // % << >> & | ^",
+        "o": "in is and or == != <= >= < > / // % << >> & | ^ :=",
         "a": "+ -",
         "*": "* **",
         "u": "await ~",
         "!": "not",
-        "=": "= :=",
+        "=": "=",
         "g": "+= -= *= /= //= %= &= |= ^= <<= >>= **= @=",
         ">": "->",
         "I": "if",
@@ -311,13 +314,13 @@ def _py_other(token: str) -> str:
 
 
 _PY = _Characters(_PY_FIXED, _py_other)
-_SOFT = re.compile(r"^[ \t]*(match|case)\b(?=[^=\n]*:[ \t]*(?:#.*)?$)(?![ \t]*[.=,)])", re.M)
+_SOFT = re.compile(r"^[ \t]*(?:(match)(?=[ \t]+[^\s=.,:)\]+*/%<>!|&^][^\n]*:[ \t]*(?:#.*)?$)|(case)(?=[ \t]+[^\s=.,:)\]+*/%<>!|&^][^\n]*:))", re.M)
 
 
 def python_stream(text: str) -> str:
     """Line ends count only outside brackets: l at the end of a statement, < and ^ where the indent changes."""
     if "match" in text:
-        text = _SOFT.sub(lambda m: m[0].replace(m[1], "while"), text)
+        text = _SOFT.sub(lambda m: m[0].replace(m[1] or m[2], "while"), text)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     out: list[str] = []
     indents, depth, fresh, width = [0], 0, True, 0
