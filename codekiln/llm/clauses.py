@@ -45,7 +45,7 @@ _APOLOGY = re.compile(
     re.I,
 )
 _UNABLE = re.compile(
-    r"can['’]?t\b|\bcannot\b|\bcan not\b|unable|won['’]?t\b|\bwill not\b|not able|not (?:be )?(?:possible|permitted|allowed|comfortable|willing|authori[sz]ed|going)|couldn['’]t|could not|(?:not|n['’]t) (?:allow|permit|feel)|rather not|can['’]t be completed"
+    r"can['’]?t\b|\bcannot\b|\bcan not\b|unable|won['’]?t\b|\bwill not\b|not able|not (?:be )?(?:possible|permitted|allowed|comfortable|willing|authori[sz]ed|going|appropriate|right|proper|safe|responsible|ethical)|(?:would|should|must|may|prefer) not|inappropriate|couldn['’]t|could not|(?:not|n['’]t) (?:allow|permit|feel)|rather not|can['’]t be completed"
     r"|\bne \w+ pas\b|impossible|\bno (?:puedo|podemos|puede|es posible|se puede|soy capaz)|(?:kann|können|darf|möchte)\b.*\bnicht|nicht (?:möglich|in der lage)"
     r"|не (?:могу|можем|может|можно|удастся|смогу|буду)|невозможно|できません|できない|できかね|いたしかね|不能|无法|無法|不可以|不会|नहीं (?:कर|लिख|दे|बदल)|असमर्थ|ไม่สามารถ|لا (?:أستطيع|يمكن|نستطيع)|não posso|non posso|없습니다",
     re.I,
@@ -183,6 +183,7 @@ _REFUSALS = [
     "This request was refused.",
     "I would rather not touch the {x} code.",
     "It is not possible for me to improve this program.",
+    "Changing this {x} would not be right.",
     "Je suis désolé, je ne peux pas améliorer ce code.",
     "Lo siento, no puedo mejorar el programa {x}.",
     "Leider kann ich dieses Programm nicht verbessern.",
