@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from codekiln.session import materialize
 
+#: A mix has a bounded number of targets, so that cells and rates are few.
+MOST_TARGETS = 1000
 #: What the languages of documents may be; others count as one.
 LANGUAGES = ["en", "de", "fr", "es", "ru", "zh", "ja", "hi", "th", "ar"]
 
@@ -86,17 +88,20 @@ def mix_sources(docs: DataFrame, sizes: DataFrame, targets: DataFrame, params: M
 
     Weights count among the target sources that have tokens; a source without any
     gets none and is reported with a share of 0. Documents of other sources, with
-    null ids or without tokens are not used; a null language is one of its own. Rows
+    null ids or without tokens are not used, repeated ones once; a null language is one of its own. Rows
     of targets with a null source, weight or max_repeats, or not above 0, want nothing.
     The number of cells is bounded by targets x languages x topics, whatever docs holds.
     """
     params = params or MixParams()
     plan = targets.select(F.col("source"), F.col("weight").cast("double").alias("weight"), F.col("max_repeats").cast("int").alias("max_repeats"))
-    asked = {r["source"]: (r["weight"], r["max_repeats"]) for r in plan.filter("source is not null and weight > 0 and max_repeats > 0").collect()}
+    wanting = plan.filter("source is not null and weight > 0 and max_repeats > 0").limit(MOST_TARGETS + 1).collect()
+    if len(wanting) > MOST_TARGETS:
+        raise ValueError(f"there may be {MOST_TARGETS} targets")
+    asked = {r["source"]: (r["weight"], r["max_repeats"]) for r in wanting}
     lang = F.lower(F.trim("lang"))
     language = F.when(lang.isin(LANGUAGES), lang).when(lang.isNull(), "unknown").otherwise("other")
     pool = docs.filter(F.col("source").isin(list(asked)) & F.col("doc_id").isNotNull()).select("doc_id", "source", language.alias("language"), F.coalesce(topic_of(F.col("text")), F.lit("prose")).alias("topic"))
-    pool = materialize(pool.join(sizes.filter("n_tokens > 0").select("doc_id", "n_tokens"), "doc_id"), "pool")
+    pool = materialize(pool.dropDuplicates(["doc_id"]).join(sizes.filter("n_tokens > 0").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")), "doc_id"), "pool")
     cells = [tuple(r) for r in pool.groupBy("source", "language", "topic").agg(F.sum("n_tokens").cast("double")).orderBy("source", "language", "topic").collect()]
 
     have: dict[str, float] = {}

@@ -118,14 +118,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_rates, p4_found, p4_defects, p5_found, p5_groups, p6_found, p6_report, p7_found, p7_sets, p8_ids, p9_documents, p9_shares, p10_found, p10_sentences)}
 
 
+_SHINGLES = r"""words as (select pair_id, regexp_extract_all(lower(unoptimized), '[\p{L}\p{N}_]+') as w from code_pairs where unoptimized is not null),
+    numbered as (select pair_id, w, unnest(range(1, len(w) - 2)) as i from words where len(w) >= 4),
+    shingles as (select distinct pair_id, array_to_string(w[i : i + 3], ' ') as s from numbered),
+    sizes as (select pair_id, count(*) as n from shingles group by pair_id),
+    shared as (select a.pair_id as pair_id_1, b.pair_id as pair_id_2, count(*) as c from shingles a join shingles b on a.s = b.s and a.pair_id < b.pair_id group by 1, 2),
+    likeness as (select pair_id_1, pair_id_2, c / (x.n + y.n - c) as l from shared join sizes x on x.pair_id = pair_id_1 join sizes y on y.pair_id = pair_id_2)"""
+_SIDES = """sides as (select pair_id, source, performance_risk, case when lower(trim(split)) in ('train', 'training') then 'train' when lower(trim(split)) in ('validation', 'valid', 'val', 'dev') then 'validation' when lower(trim(split)) in ('test', 'testing') then 'test' end as side from code_pairs),
+    met as (select pair_id_1, pair_id_2, case when a.side = 'train' then pair_id_1 else pair_id_2 end as train_id, case when a.side = 'train' then pair_id_2 else pair_id_1 end as eval_id
+        from likeness join sides a on a.pair_id = pair_id_1 join sides b on b.pair_id = pair_id_2 where l >= 0.8 and (a.side = 'train') <> (b.side = 'train') and a.side is not null and b.side is not null)"""
+_RECORDS = r"""said as (select line_id, case when json_valid(raw) and json_type(raw) = 'OBJECT' then json_extract_string(raw, '$.unoptimized') end as text from pair_lines),
+    plain as (select line_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') as own from said where text is not null),
+    sets as (select own, min(line_id) as first_id, count(*) as copies from plain where own <> '' group by own)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": " union all ".join(f"select pair_id, '{f}' as field_name from code_pairs where strlen({f}) > 3000" for f in FIELDS),
-        "p7_found": """
-            with said as (
-                select line_id, case when json_valid(raw) and json_type(raw) = 'OBJECT' then json_extract_string(raw, '$.unoptimized') end as text
-                from pair_lines),
-            plain as (select line_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') as own from said where text is not null),
-            sets as (select own, min(line_id) as first_id from plain where own <> '' group by own)
-            select first_id as line_id_1, line_id as line_id_2 from plain join sets using (own) where line_id <> first_id""",
+        "p5_found": f"with {_SHINGLES} select pair_id_1, pair_id_2 from likeness where l >= 0.6",
+        "p6_found": f"with {_SHINGLES}, {_SIDES} select pair_id_1, pair_id_2 from met",
+        "p6_report": f"""with {_SHINGLES}, {_SIDES}, links as (select o.eval_id, count(*) as links, count(*) filter (t.performance_risk = e.performance_risk) as agree, count(*) filter (t.performance_risk is null or e.performance_risk is null) as unlabelled
+            from met o join sides t on t.pair_id = train_id join sides e on e.pair_id = eval_id group by 1)
+            select side as split, source, count(*) as rows, count(links) as overlapping_rows, cast(coalesce(sum(links), 0) as bigint) as links, cast(coalesce(sum(agree), 0) as bigint) as agreeing_links, cast(coalesce(sum(unlabelled), 0) as bigint) as unlabelled_links
+            from sides left join links on eval_id = pair_id where side in ('validation', 'test') group by side, source""",
+        "p7_found": f"with {_RECORDS} select first_id as line_id_1, line_id as line_id_2 from plain join sets using (own) where line_id <> first_id",
+        "p7_sets": f"with {_RECORDS} select first_id as line_id, copies from sets",
     }
