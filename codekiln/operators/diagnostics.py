@@ -92,3 +92,17 @@ def message_kind(message: Column) -> Column:
 
 def shared_tokens(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(unique_tokens(a), unique_tokens(b)))
+
+
+def top_cards(fixes: DataFrame, keep: list[str], most: int = 3) -> DataFrame:
+    """The most relevant fixes of all messages of a group (of none for no keep), equal texts once."""
+    once = fixes.groupBy(*keep, "fix").agg(F.max("relevance").alias("relevance"), F.min("priority").alias("priority"))
+    if not keep:
+        return once.orderBy(F.col("relevance").desc(), "priority", "fix").limit(most)
+    order = Window.partitionBy(*keep).orderBy(F.col("relevance").desc(), "priority", "fix")
+    return once.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).drop("k")
+
+
+def headline(title: Column, actions: Column, most: int = 3) -> Column:
+    """A title with its first few actions on one line."""
+    return F.concat_ws(" - ", title, F.nullif(F.array_join(F.slice(F.coalesce(actions, F.array().cast("array<string>")), 1, most), "; "), F.lit("")))

@@ -92,3 +92,13 @@ def top_causes(rows: DataFrame, key: str, weights: dict[str, float], means: dict
 def training_rows(files: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Real and synthetic feature rows together, labelled by the risk score."""
     return with_risk(files.select(*FEATURE_COLUMNS).unionByName(synthetic.select(*FEATURE_COLUMNS)))
+
+
+def save_model(model: PipelineModel, means: DataFrame, path: str) -> None:
+    """The pipeline and the means that its causes are measured from."""
+    model.write().overwrite().save(f"{path}/pipeline")
+    means.write.mode("overwrite").parquet(f"{path}/means")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict[str, float]]:
+    return PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/means").first().asDict()

@@ -327,3 +327,17 @@ def trace_summary(trace: DataFrame) -> DataFrame:
         F.count_if(F.col("event_type") == "unsupported").alias("unsupported"),
     )
     return grouped.withColumn("status", F.when(F.col("unsupported") > 0, "partial").otherwise("ok"))
+
+
+def frames(trace: DataFrame) -> DataFrame:
+    """trace steps with function: the one that was entered last and is not left yet.
+
+    Enters and exits count a depth; the innermost function is the last enter at the
+    depth of the step.
+    """
+    order = Window.partitionBy("file_id").orderBy("step_index").rowsBetween(Window.unboundedPreceding, 0)
+    change = F.when(F.col("event_type") == "function-enter", 1).when(F.col("event_type") == "function-exit", -1).otherwise(0)
+    deep = trace.withColumn("depth", F.sum(change).over(order))
+    same = Window.partitionBy("file_id", "depth").orderBy("step_index").rowsBetween(Window.unboundedPreceding, 0)
+    entered = F.last(F.when(F.col("event_type") == "function-enter", F.col("detail")), ignorenulls=True).over(same)
+    return deep.withColumn("function", F.when(F.col("depth") > 0, entered)).drop("depth")

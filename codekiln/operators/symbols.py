@@ -81,3 +81,13 @@ def ranked_completions(offers: DataFrame, prefix: Column) -> DataFrame:
     fitting = offers.filter(F.lower("label").startswith(F.lower(prefix))).withColumn("sort_text", F.concat(weight, "label"))
     first = F.row_number().over(Window.partitionBy("label").orderBy("sort_text", "source"))
     return fitting.withColumn("k", first).filter("k = 1").drop("k").orderBy("sort_text")
+
+
+def member_offers(uses: DataFrame, declared: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Members that complete a variable: uses (key, name), declared (key, name, type), members (type, member).
+
+    A type's std:: and its arguments don't count, so std::vector<int> has vector's members.
+    """
+    base = F.regexp_extract("type", r"^(?:const\s+)?(?:std::)?(\w+)", 1)
+    types = declared.select(key, "name", base.alias("base")).distinct()
+    return uses.join(types, [key, "name"]).join(members.withColumnRenamed("type", "base"), "base").select(key, "name", F.col("member").alias("label"), F.lit("member").alias("source"))

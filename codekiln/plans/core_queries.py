@@ -25,5 +25,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in [p2_found, p2_code_smells, *(q for m in MODULES for q in m.QUERIES)]}
 
 
+def _object(x: str) -> str:
+    """x if it is a JSON object or the text of one."""
+    text = f"json_extract_string({x}, '$')"
+    return f"(case json_type({x}) when 'OBJECT' then {x} when 'VARCHAR' then case when json_valid({text}) and json_type({text}) = 'OBJECT' then cast({text} as json) end end)"
+
+
+def _elements(x: str) -> str:
+    return f"(case when {x} is null or json_type({x}) = 'NULL' then [] when json_type({x}) = 'ARRAY' then json_extract({x}, '$[*]') else [{x}] end)"
+
+
+def _rows(kind: str, parent: str, source: str, column: str) -> str:
+    return f"select analysis_id, '{kind}' as child_kind, {parent} as parent_no, generate_subscripts({column}, 1) - 1 as child_no, unnest({column}) as item from {source}"
+
+
+P2_SQL = f"""
+    with ranked as (select analysis_id, payload, row_number() over (partition by analysis_id order by received_at desc nulls last, payload desc nulls last) as k from analyses where analysis_id is not null),
+    plain as (select analysis_id, case when json_valid(payload) then cast(payload as json) end as p from ranked where k = 1),
+    docs as (select analysis_id, {_object("p")} as d from plain),
+    parts as (select analysis_id, {_object("json_extract(d, '$.semanticChecks')")} as sc, {_object("json_extract(d, '$.codeSmells')")} as cs, {_object("json_extract(d, '$.features')")} as fe,
+        {_object("case when coalesce(json_type(json_extract(d, '$.complexityEstimate')), 'NULL') = 'NULL' then json_extract(d, '$.complexity') else json_extract(d, '$.complexityEstimate') end")} as ce from docs where d is not null),
+    lists as (select analysis_id, {_elements("json_extract(sc, '$.issues')")} as si, {_elements("json_extract(cs, '$.issues')")} as ci, {_elements("json_extract(" + _object("json_extract(fe, \'$.recursion\')") + ", \'$.recursiveFunctions\')")} as rf,
+        {_elements("json_extract(" + _object("json_extract(ce, \'$.time\')") + ", \'$.notes\')")} as tn, {_elements("json_extract(" + _object("json_extract(ce, \'$.space\')") + ", \'$.notes\')")} as sn from parts),
+    first as ({" union all ".join(_rows(kind, "-1", "lists", column) for kind, column in (("semantic_issue", "si"), ("code_smell", "ci"), ("recursive_function", "rf"), ("time_note", "tn"), ("space_note", "sn")))}),
+    kept as (select * from first where json_type(item) <> 'NULL'),
+    own as (select analysis_id, child_kind, child_no as no, {_elements("json_extract(" + _object("item") + ", '$.suggestions')")} as su from kept where child_kind in ('semantic_issue', 'code_smell')),
+    second as (select analysis_id, case child_kind when 'semantic_issue' then 'semantic_suggestion' else 'smell_suggestion' end as child_kind, no as parent_no, generate_subscripts(su, 1) - 1 as child_no, unnest(su) as item from own)
+    select analysis_id, child_kind, cast(parent_no as int) as parent_no, cast(child_no as int) as child_no from kept
+    union all select analysis_id, child_kind, cast(parent_no as int), cast(child_no as int) from second where json_type(item) <> 'NULL'"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return {"p2_found": P2_SQL} | {name: sql for m in MODULES for name, sql in m.SQL.items()}

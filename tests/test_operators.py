@@ -285,3 +285,22 @@ def test_same_rows_for_any_partitioning(spark):
         assert rows(1) == rows(8)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_members_cards_frames_and_saved_models(spark, tmp_path):
+    uses = spark.createDataFrame([("f", "v"), ("f", "w")], "id string, name string")
+    declared = spark.createDataFrame([("f", "v", "const std::vector<int>"), ("f", "w", "int")], "id string, name string, type string")
+    members = spark.createDataFrame([("vector", "size"), ("vector", "push_back"), ("map", "find")], "type string, member string")
+    assert {r["label"] for r in symbols.member_offers(uses, declared, members, "id").collect()} == {"size", "push_back"}
+    fixes = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.5, 2), (2, "a", 0.8, 1)], "m int, fix string, relevance double, priority int")
+    assert [r["fix"] for r in diagnostics.top_cards(fixes, [], 1).collect()] == ["a"] and diagnostics.top_cards(fixes, ["m"], 1).count() == 2
+    assert spark.range(1).select(diagnostics.headline(F.lit("T"), F.array(F.lit("x"), F.lit("y")), 1)).first()[0] == "T - x"
+    rows = simulate.simulate(spark.createDataFrame([("a", "int f() { int x = 1; return x; }\nint y = 2;")], "id string, code string"), "id", "code")
+    got = {r["variable"]: r["function"] for r in simulate.frames(rows).filter("event_type = 'declare'").collect()}
+    assert got == {"x": "f", "y": None}
+    labelled = text_features.with_risk(risk_model.synthetic_rows(spark, 60))
+    model = risk_model.fit_forest(labelled, "risk_label", trees=2)
+    risk_model.save_model(model, risk_model.feature_means(labelled), str(tmp_path))
+    again, means = risk_model.load_model(spark, str(tmp_path))
+    assert set(means) == set(text_features.FEATURE_COLUMNS)
+    assert risk_model.predict(again, labelled, "id").select("predicted").collect() == risk_model.predict(model, labelled, "id").select("predicted").collect()
