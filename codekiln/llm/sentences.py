@@ -127,7 +127,7 @@ _CONTINUES = re.compile(rf"{_PLAIN_LOWER}|\s*{_EAST}|\s+{_SIGNS}\d|\s*[,;，、]
 _BLANK_LINE = re.compile(r"\s*$")
 _HEADING = re.compile(r"\s*#")
 _FENCE = re.compile(r"\s*(```+|~~~+)")
-_ITEM = re.compile(r"\s*(?:[-*+•‣·]|\(?(\d{1,4}|[a-zA-Z])[.)])(?:\s|$)")
+_ITEM = re.compile(r"\s*(?:[-*+•‣·]|\(?(\d{1,4})[.)]|\(?[a-z]\))(?:\s|$)")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _NO_MARKS = re.compile("[฀-໿ក-៿က-႟]")
 

@@ -236,6 +236,7 @@ def test_raking_meets_margins_and_caps():
         ("他说：「好。」我走了。", ["他说：「好。」", "我走了。"]),
         ("# A. B\ntext one.\nstill two\n\n- item. more\n1. next\n```\na. b\n\nc\n```\nend", ["# A. B", "text one.", "still two", "- item. more", "1. next", "```\na. b\n\nc\n```", "end"]),
         ("ไทย หนึ่ง\nไทย สอง\n", ["ไทย หนึ่ง", "ไทย สอง"]),
+        ("M. Un a dit. M. Deux aussi.", ["M. Un a dit.", "M. Deux aussi."]),
         ("run No.\n9. The end", ["run No.\n9.", "The end"]),
         ("```\nnever closed. x", ["```\nnever closed. x"]),
         ("a.\r\n\r\nb", ["a.", "b"]),
