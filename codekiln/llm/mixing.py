@@ -4,8 +4,8 @@ Documents fall into cells of source, language and topic. Iterative proportional
 fitting finds how often a document of each cell is to be used so that sources get
 their target shares of the tokens while languages and topics keep the shares they
 have in the pool, never above a source's greatest number of repeats. Documents are
-then sampled with these rates, systematically within small groups, so that a
-group's total strays from its expectation by less than a document.
+then sampled with these rates in groups of a bounded size, so that a group's total
+strays from its expectation by less than a small document.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codekiln.session import materialize
@@ -118,17 +119,31 @@ def mix_sources(docs: DataFrame, sizes: DataFrame, targets: DataFrame, params: M
     table = spark.createDataFrame([(*k, v) for k, v in rates.items()], "source string, language string, topic string, rate double")
     groups = pool.groupBy("source").agg(F.ceil(F.count("*") / params.group_rows).cast("int").alias("groups"))
     rated = pool.join(F.broadcast(table), ["source", "language", "topic"]).join(F.broadcast(groups), "source")  # both have at most as many rows as there are cells
-    rated = rated.withColumn("part", F.pmod(F.xxhash64("doc_id"), "groups")).withColumn("extra", F.col("rate") - F.floor("rate"))
-    # Systematic sampling in order of size: one more copy wherever the running sum of the rates' fractions passes a whole number.
-    ordered = Window.partitionBy("source", "part").orderBy("n_tokens", F.xxhash64("doc_id"), "doc_id")
-    start = F.pmod(F.xxhash64("source", "part"), F.lit(1000)) / 1000.0
-    now = F.sum("extra").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.coalesce(F.sum("extra").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    copies = (F.floor("rate") + F.floor(now + start) - F.floor(before + start)).cast("int")
-    chosen = materialize(rated.withColumn("copies", copies).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies"), "mix")
+    rated = rated.withColumn("part", F.pmod(F.xxhash64("doc_id"), "groups")).select("doc_id", "source", "n_tokens", "rate", "part", F.xxhash64("doc_id", F.lit("order")).alias("draw"))
+    picked = rated.groupBy("source", "part").applyInPandas(_pick, "doc_id long, source string, n_tokens long, copies int")
+    chosen = materialize(picked, "mix")
     return Mix(chosen, _reached(chosen, plan))
 
 
+def _pick(group: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one group with their copies: those of whole rates, and one more wherever what is owed reaches half a document.
+
+    Large documents come first, so what is owed in the end is less than a small one;
+    among documents of one size the draw decides.
+    """
+    group = group.sort_values(["n_tokens", "draw", "doc_id"], ascending=[False, True, True])
+    whole = np.floor(group["rate"].to_numpy())
+    extra, sizes = group["rate"].to_numpy() - whole, group["n_tokens"].to_numpy()
+    copies, owed = whole.astype(int), 0.0
+    for k in np.flatnonzero(extra):
+        owed += extra[k] * sizes[k]
+        if owed >= sizes[k] / 2:
+            copies[k] += 1
+            owed -= sizes[k]
+    out = group[["doc_id", "source", "n_tokens"]].assign(copies=copies.astype(np.int32))
+    return out[out["copies"] > 0]
+
+
 def _reached(chosen: DataFrame, plan: DataFrame) -> DataFrame:
     """source, weight, max_repeats, documents, tokens, most_copies, share of each row of the plan."""
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
