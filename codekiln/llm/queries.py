@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codekiln.llm.answers import is_empty_answer
+from codekiln.llm.answers import is_blank, is_empty_answer
 from codekiln.llm.bpe import encode_corpus, load_merges, token_counts
 from codekiln.llm.cross_split import CrossSplitParams, cross_split_overlaps, overlap_report
 from codekiln.llm.formatting_duplicates import collapse_records, repeats
@@ -36,7 +36,8 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     """code_pairs with answers that say nothing, given a prompt, as null: they are no files."""
     pairs = table(spark, folder, "code_pairs").select("pair_id", "repo", "file_path", "unoptimized", "optimized")
-    return pairs.withColumn("optimized", F.when(~is_empty_answer(F.col("optimized")), F.col("optimized")))
+    said_nothing = is_empty_answer(F.col("optimized")) & ~is_blank(F.col("unoptimized"))
+    return pairs.withColumn("optimized", F.when(~said_nothing, F.col("optimized")))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codekiln.llm.answers import is_blank
 from codekiln.llm.parser_tables import Machine, Tables, bundled_tables
 from codekiln.llm.token_streams import ILLEGAL, STREAMS, UNCLOSED
 
@@ -64,19 +65,19 @@ def _text_stops(stream: str, line: int, at: int) -> bool:
 def syntax_errors(docs: DataFrame, id_col: str, path_col: str, fields: list[str]) -> DataFrame:
     """id_col, field_name, language, checked, error_line, error_kind of each field of each row, whether it parses or not.
 
-    Blank texts, null ones and those of paths in no known language are not checked:
+    Blank and invisible texts, null ones and those of paths in no known language are not checked:
     checked is false and the error null. Comments alone parse. Ids may be null or
     repeated; other columns are ignored. There is no shuffle.
     """
 
     @F.pandas_udf("struct<error_line int, error_kind string>")
     def check(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
-        found = [first_error(t, x) if t is not None and x is not None and not t.isspace() and t else None for t, x in zip(texts, languages, strict=True)]
+        found = [first_error(t, x) if t is not None else None for t, x in zip(texts, languages, strict=True)]
         return pd.DataFrame({"error_line": pd.array([f[0] if f else None for f in found], dtype="Int32"), "error_kind": [f[1] if f else None for f in found]})
 
     own = docs.select(F.col(id_col).alias("id"), language_of(F.col(path_col)).alias("language"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x"))
-    checked = F.coalesce(F.col("language").isNotNull() & F.col("x.text").rlike(r"\S"), F.lit(False))
-    rows = own.select("id", "x.field_name", "language", checked.alias("checked"), check(F.col("x.text"), F.col("language")).alias("found"))
+    checked = F.col("language").isNotNull() & ~is_blank(F.col("x.text"))
+    rows = own.select("id", "x.field_name", "language", checked.alias("checked"), check(F.when(checked, F.col("x.text")), F.col("language")).alias("found"))
     return rows.select(F.col("id").alias(id_col), "field_name", "language", "checked", "found.error_line", "found.error_kind")
 
 

@@ -48,7 +48,7 @@ _CPP_TOKENS = re.compile(
     r"""|\boperator\s*(?:\(\s*\)|\[\s*\]|(?:new|delete)\b(?:\s*\[\s*\])?|""\s*\w+|[^\w\s(]+)"""
     r"""|delete\s*\[\s*\]|\[\[\s*[A-Za-z][^\[\]]*\]\]"""
     r"""|~?[^\W\d]\w*(?:\s*::\s*~?[^\W\d]\w*)*|::\s*~?[^\W\d]\w*(?:\s*::\s*~?[^\W\d]\w*)*"""
-    r"""|\.\.\.|<<=|>>=|<=>|\+\+|--|&&|\|\||[-+*/%&|^=!<>]=|<<|->|[-+*/%&|^=!<>~?:;,.(){}\[\]]|\n|[^\s﻿]"""
+    r"""|\.\.\.|<<=|>>=|<=>|\+\+|--|&&|\|\||[-+*/%&|^=!<>]=|<<|->|[-+*/%&|^=!<>~?:;,.(){}\[\]]|\n|[^\s\ufeff]"""
 )
 _CPP_CHARACTERS = _table(
     {
@@ -143,6 +143,15 @@ def _preprocessed(text: str) -> str:
     return "".join(out)
 
 
+def _without_directives(text: str) -> str:
+    """The careful scan is needed only where a # may be in a comment or string, or a branch may be off."""
+    if "#" not in text:
+        return text
+    if any(mark in text for mark in ("#if", "# ", "#\t", '"#', "/*", 'R"')):
+        return _preprocessed(text)
+    return _DIRECTIVE.sub(_directive, text)
+
+
 def _keep_lines(put: str):
     return lambda m: put + _lines_of(m[0])
 
@@ -153,8 +162,7 @@ _TRAILING = re.compile(r"\)([c\n]*)d[it<>:*cq,\n]*(?=\{)")
 
 
 def cpp_stream(text: str) -> str:
-    if "#" in text:
-        text = _preprocessed(text) if "#if" in text or "# " in text else _DIRECTIVE.sub(_directive, text) if '"#' not in text and "/*" not in text and "R\"" not in text else _preprocessed(text)
+    text = _without_directives(text)
     stream = "".join([_CPP[m[0]] for m in _CPP_TOKENS.finditer(text)])
     if "M" in stream:
         stream = _TEMPLATE.sub(_keep_lines(""), stream)
@@ -182,7 +190,7 @@ _JS_TOKENS = re.compile(
     r"|(?:\d|\.\d)(?:[eE][+-](?=\d)|[\w.])*"
     r"|(?:async\s+)?function\b(?:\s*\*)?|import\s*[^(.;\n\"']*\bfrom\s*(?:\"[^\"\n]*\"|'[^'\n]*')|import\s*(?:\"[^\"\n]*\"|'[^'\n]*')|export\s+default\b|export\b"
     r"|#?(?:[^\W\d]|\$)[\w$]*"
-    r"|\.\.\.|=>|>>>=|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|\+\+|--|&&|\|\||\?\?|\*\*|<<|>>|[-+*/%&|^=!<>]=|[-+*/%&|^=!<>~?:;,.(){}\[\]]|\n|[^\s﻿]"
+    r"|\.\.\.|=>|>>>=|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|\+\+|--|&&|\|\||\?\?|\*\*|<<|>>|[-+*/%&|^=!<>]=|[-+*/%&|^=!<>~?:;,.(){}\[\]]|\n|[^\s\ufeff]"
 )
 _JS = _Characters(
     _table(
@@ -261,7 +269,7 @@ _PY_TOKENS = re.compile(
     r"|\.\.\.|\.[ \t]*(?!import\b)[^\W\d]\w*"
     r"|(?:\d|\.\d)(?:[eE][+-](?=\d)|[\w.])*"
     r"|[^\W\d]\w*"
-    r"|\\\r?\n|\*\*=|//=|>>=|<<=|->|:=|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%&|^@]=|[-+*/%&|^=<>~@:;,.(){}\[\]]|\n[ \t\f]*|[^\s﻿]"
+    r"|\\\r?\n|\*\*=|//=|>>=|<<=|->|:=|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%&|^@]=|[-+*/%&|^=<>~@:;,.(){}\[\]]|\n[ \t\f]*|[^\s\ufeff]"
 )
 _PY_FIXED = _table(
     {
@@ -324,8 +332,8 @@ def python_stream(text: str) -> str:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     out: list[str] = []
     indents, depth, fresh, width = [0], 0, True, 0
-    strip = re.match(r"﻿?[ \t\f]*", text)[0]
-    width = len(strip.expandtabs(8).lstrip("﻿"))
+    first = re.match(r"\ufeff?[ \t\f]*", text)[0]
+    width = len(first.lstrip("\ufeff").expandtabs(8))
     for m in _PY_TOKENS.finditer(text):
         token = m[0]
         if token[0] == "\n":
