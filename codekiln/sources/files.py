@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What counts as source, and folders that are passed over.
@@ -21,7 +21,7 @@ def contained(root: str, path: str) -> str:
     return whole
 
 
-def _relative(root: str) -> F.Column:
+def _relative(root: str) -> Column:
     plain = F.regexp_replace("path", "^file:/+", "/")
     return F.regexp_replace(plain, "^" + "".join("\\" + c if c in ".^$*+?()[]{}|\\" else c for c in posixpath.normpath(root)) + "/", "")
 
