@@ -119,6 +119,13 @@ def clauses_of(text: str) -> list[Clause]:
     return out
 
 
+def _ends_like(code: str, prompt: str) -> bool:
+    """Whether both have the same last two lines that aren't blank, and the last is a whole one without indent."""
+    ends = [[line.rstrip() for line in text.rstrip().split("\n")[-6:] if line.strip()][-2:] for text in (code, prompt)]
+    last = ends[0][-1] if ends[0] else " "
+    return not last[0].isspace() and last[-1] in "};)" and [x.strip() for x in ends[0]] == [x.strip() for x in ends[1]]
+
+
 FEATURES = ["bias", "code", "comment", "prose", "apology", "unable", "decline", "task", "apology and unable", "some code", "no code", "lexical without code", "other script", "other words", "english", "other code", "foreign without code", "echo", "all echo", "last and open"]
 
 
@@ -135,6 +142,8 @@ def features_of(prompt: str, response: str) -> tuple[list[Clause], np.ndarray, s
         language = written if written != "braces" else spoken if spoken in ("cpp", "javascript") else "cpp"
         rest = _AFTERTHOUGHT.sub("", code)
         opened = (first_error(code, language) or ("", ""))[1] == "end" or (len(rest) < len(code.rstrip()) and (first_error(rest + "\n", language) or ("", ""))[1] == "end")
+    if opened and _ends_like(code, prompt):
+        opened = False  # the program's end is there; what is open was left out before it
     rows = np.zeros((len(clauses), len(FEATURES)))
     last_code = max((k for k, c in enumerate(clauses) if c.kind == "code"), default=-1)
     all_echo = all(e for e, c in zip(echoes, clauses, strict=True) if c.kind == "code") and last_code >= 0
