@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codekiln.session import spread
+
 TRACE = "file_id string, step_index int, event_type string, line int, detail string, variable string, value string, decision string, iteration int, loop_kind string, scope_id int, heap string, bytes long, warning string"
 _COLUMNS = [c.split()[0] for c in TRACE.split(", ")]
 
@@ -276,14 +278,22 @@ def simulate(files: DataFrame, key: str, code: str, loop_cap: int = 20, most_ste
     if not 1 <= loop_cap <= 200:
         raise ValueError("the loop cap is 1 to 200")
 
+    whole = {"iteration": "Int32", "bytes": "Int64"}
+
+    def table(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=whole.get(c, object)) for c in _COLUMNS})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
         for batch in batches:
             for one, text in zip(batch["file_id"], batch["code"], strict=True):
-                rows = [r | {"file_id": one, "step_index": k} for k, r in enumerate(trace_code(text or "", loop_cap, most_steps))]
-                whole = {"iteration": "Int32", "bytes": "Int64"}
-                yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=whole.get(c, object)) for c in _COLUMNS})
+                held += [r | {"file_id": one, "step_index": k} for k, r in enumerate(trace_code(text or "", loop_cap, most_steps))]
+                if len(held) >= 20_000:
+                    yield table(held)
+                    held = []
+        yield table(held)
 
-    return files.select(F.col(key).cast("string").alias("file_id"), F.col(code).alias("code")).mapInPandas(run, TRACE)
+    return spread(files.select(F.col(key).cast("string").alias("file_id"), F.col(code).alias("code"))).mapInPandas(run, TRACE)
 
 
 def heap_running(events: DataFrame, keys: list[str], order: list[str], kind: str, amount: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codekiln.operators import ast_nodes as a
 from codekiln.plans.catalog import table
+from codekiln.session import materialize
 
 TREE = """
     select file_id, node_id, parent_id, cast(ordinal as int) as ordinal, depth, pre, case when depth = 0 then count(*) over (partition by file_id) - 1 when depth = 1 then pre + n - 1 else pre end as last,
@@ -41,6 +42,11 @@ def tree(spark: SparkSession, folder: str) -> DataFrame:
     return a.prepared(spark.sql(TREE, **{t: table(spark, folder, t) for t in ("customer", "orders", "lineitem")}))
 
 
+def kept_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The tree as a written table, for queries that go over it more than once."""
+    return materialize(tree(spark, folder), "tree")
+
+
 def ast_node_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return a.node_metrics(tree(spark, folder))
 
@@ -50,12 +56,12 @@ def ast_nesting_depth(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ast_recursion(spark: SparkSession, folder: str) -> DataFrame:
-    return a.recursion_metrics(tree(spark, folder)).select("file_id", "recursion_count", F.array_join("recursive_functions", ",").alias("recursive_functions"))
+    return a.recursion_metrics(kept_tree(spark, folder)).select("file_id", "recursion_count", F.array_join("recursive_functions", ",").alias("recursive_functions"))
 
 
 def ast_features(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["file_id", "loops_total", "nesting_max_depth", "recursion_count", "loops_exceeds", "nesting_exceeds", "allocations_exceeds", "time_big_o", "time_confidence", "space_big_o", "space_confidence", "complexity_time_rank", "complexity_space_rank"]
-    return a.file_features(tree(spark, folder)).select(columns)
+    return a.file_features(kept_tree(spark, folder)).select(columns)
 
 
 def ast_dead_code(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,12 +108,12 @@ def ast_duplicate_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def semantic_issue_counts(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = tree(spark, folder)
+    nodes = kept_tree(spark, folder)
     return a.semantic_issues(nodes, a.node_metrics(nodes)).groupBy("check_type", "severity", "issue_id").agg(F.count("*").alias("issues"), F.countDistinct("file_id").alias("files"))
 
 
 def code_smell_counts(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = tree(spark, folder)
+    nodes = kept_tree(spark, folder)
     return a.code_smells(nodes, a.file_features(nodes)).groupBy("smell_type", "severity").agg(F.count("*").alias("smells"), F.round(F.max("confidence"), 9).alias("most_sure"))
 
 

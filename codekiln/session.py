@@ -50,3 +50,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that takes long for each row.
+
+    Only inputs of a few partitions are shuffled, such as one small file; large ones
+    have more than enough already. Rows and results stay the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
