@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codekiln.session import spread
+
 DEFAULT_TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how byte_bpe_50k parts a text before its merges.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -122,7 +124,7 @@ def encode_corpus(docs: DataFrame, id_col: str, text_col: str, merges: Merges) -
                 yield pd.DataFrame({"id": some["id"], "ids": encode_texts(some["text"], tables.value, known, pattern)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
     return rows.mapInPandas(run, "id string, ids array<int>").select(F.col("id").cast(kind).alias(id_col), "ids")
 
 

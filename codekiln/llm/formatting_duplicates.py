@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codekiln.operators.skew import salted_join
-from codekiln.session import materialize
+from codekiln.session import materialize, spread
 
 _NO_LETTER_OR_DIGIT = re.compile(r"[\W_]+")
 
@@ -157,7 +157,7 @@ def collapse_records(rows: DataFrame, id_col: str, raw_col: str, field: str, par
     counts as a copy. An empty table gives empty results; other columns are ignored.
     """
     params = params or CollapseParams()
-    plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(raw_col).alias("raw")).filter("id is not null and raw is not null")
+    plain = spread(rows.select(F.col(id_col).cast("long").alias("id"), F.col(raw_col).alias("raw")).filter("id is not null and raw is not null"))
     both = materialize(_combined(plain, field, params), "canonical")
     placed = radix_buckets(both.filter("key is not null"), params)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from codekiln.llm.shingles import mix, shingle_sets
 from codekiln.llm.verify import linked_members, verify_pairs
 from codekiln.operators.skew import salted_join
-from codekiln.session import materialize
+from codekiln.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, params: NearDuplicat
                 bodies.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
             yield pd.DataFrame({"id": ids, "set_1": names_1, "set_2": names_2, "bands": pd.Series(keys, dtype=object), "signature": pd.Series(bodies, dtype=object)})
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    rows_in = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null"))
     return rows_in.mapInPandas(run, "id long, set_1 long, set_2 long, bands array<long>, signature binary")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from codekiln.llm.answers import is_blank, is_empty_answer
 from codekiln.llm.clauses import ANSWER, ECHO, FOREIGN, REFUSAL, UNFINISHED, Clause, features_of, label_clauses, squeezed, trained_field
 from codekiln.llm.crf import Field
+from codekiln.session import spread
 
 _AT_ONCE = 200
 
@@ -56,7 +57,7 @@ def pair_defects(pairs: DataFrame, id_col: str, prompt_col: str, response_col: s
                 out[k] = found
         return pd.Series(out, dtype=object)
 
-    rows = pairs.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response")).filter(~is_blank(F.col("prompt")))
+    rows = spread(pairs.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response"))).filter(~is_blank(F.col("prompt")))
     rows = rows.withColumn("empty", is_empty_answer(F.col("response")))
     said = judge("prompt", F.when(~F.col("empty"), F.col("response")))
     return rows.select(F.col("id").alias(id_col), F.when(F.col("empty"), "empty").otherwise(said).alias("defect"))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codekiln.session import spread
+
 _MARKS = r".!?…。！？।॥؟۔"
 _PLACE = re.compile(rf"[{_MARKS}]+(?:\s?»|[)\]}}”’\"»」』）】]|“)*")
 #: Signs, references and the like that may stand between two words of a sentence.
@@ -250,6 +252,6 @@ def sentence_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def segment(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"start_at": a, "end_at": b} for a, b in sentences(t)] for t in texts], dtype=object)
 
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).withColumn("found", segment("text"))
+    rows = spread(docs.select(F.col(id_col), F.col(text_col).alias("text"))).withColumn("found", segment("text"))
     rows = rows.select(id_col, "text", F.posexplode("found").alias("sentence_no", "x"))
     return rows.select(id_col, "sentence_no", "x.start_at", "x.end_at", F.expr("substring(text, x.start_at + 1, x.end_at - x.start_at)").alias("sentence"))

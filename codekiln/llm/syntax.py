@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from codekiln.llm.answers import is_blank
 from codekiln.llm.parser_tables import Machine, Tables, bundled_tables
 from codekiln.llm.token_streams import ILLEGAL, STREAMS, UNCLOSED
+from codekiln.session import spread
 
 # Languages by extension.
 EXTENSIONS = {
@@ -75,7 +76,8 @@ def syntax_errors(docs: DataFrame, id_col: str, path_col: str, fields: list[str]
         found = [first_error(t, x) if t is not None else None for t, x in zip(texts, languages, strict=True)]
         return pd.DataFrame({"error_line": pd.array([f[0] if f else None for f in found], dtype="Int32"), "error_kind": [f[1] if f else None for f in found]})
 
-    own = docs.select(F.col(id_col).alias("id"), language_of(F.col(path_col)).alias("language"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x"))
+    own = spread(docs.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), *[F.col(f).alias(f"text_{k}") for k, f in enumerate(fields)]))
+    own = own.select("id", language_of(F.col("path")).alias("language"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"text_{k}").alias("text")) for k, f in enumerate(fields)])).alias("x"))
     checked = F.col("language").isNotNull() & ~is_blank(F.col("x.text"))
     rows = own.select("id", "x.field_name", "language", checked.alias("checked"), check(F.when(checked, F.col("x.text")), F.col("language")).alias("found"))
     return rows.select(F.col("id").alias(id_col), "field_name", "language", "checked", "found.error_line", "found.error_kind")
