@@ -59,5 +59,6 @@ def pair_defects(pairs: DataFrame, id_col: str, prompt_col: str, response_col: s
 
     rows = spread(pairs.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response"))).filter(~is_blank(F.col("prompt")))
     rows = rows.withColumn("empty", is_empty_answer(F.col("response")))
-    said = judge("prompt", F.when(~F.col("empty"), F.col("response")))
+    # Taken as nondeterministic, or else a filter on the result would run it a second time below.
+    said = judge.asNondeterministic()("prompt", F.when(~F.col("empty"), F.col("response")))
     return rows.select(F.col("id").alias(id_col), F.when(F.col("empty"), "empty").otherwise(said).alias("defect"))

@@ -252,6 +252,7 @@ def sentence_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def segment(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"start_at": a, "end_at": b} for a, b in sentences(t)] for t in texts], dtype=object)
 
-    rows = spread(docs.select(F.col(id_col), F.col(text_col).alias("text"))).withColumn("found", segment("text"))
+    # Taken as nondeterministic, or else a filter on the result would run it a second time below.
+    rows = spread(docs.select(F.col(id_col), F.col(text_col).alias("text"))).withColumn("found", segment.asNondeterministic()("text"))
     rows = rows.select(id_col, "text", F.posexplode("found").alias("sentence_no", "x"))
     return rows.select(id_col, "sentence_no", "x.start_at", "x.end_at", F.expr("substring(text, x.start_at + 1, x.end_at - x.start_at)").alias("sentence"))

@@ -136,7 +136,8 @@ def split_texts(docs: DataFrame, id_col: str, fields: list[str], params: SplitPa
     own = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x")).select("id", "x.*")
     long = F.octet_length("text") > params.limit
     whole = F.array(F.struct(F.lit(0).alias("start_byte"), F.octet_length("text").alias("end_byte")))
-    cuts = own.filter("text is not null").withColumn("cuts", cut(F.when(long, F.col("text"))))
+    # Taken as nondeterministic, or else a filter on the result would run it a second time below.
+    cuts = own.filter("text is not null").withColumn("cuts", cut.asNondeterministic()(F.when(long, F.col("text"))))
     rows = cuts.select("id", "field_name", "text", F.coalesce("cuts", whole).alias("cuts"))
     rows = rows.select("id", "field_name", "text", F.size("cuts").alias("pieces"), F.posexplode("cuts").alias("piece_no", "cut"))
     piece = F.expr("cast(substring(cast(text as binary), cut.start_byte + 1, cut.end_byte - cut.start_byte) as string)")
