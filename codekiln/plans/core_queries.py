@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codekiln.operators.nested import children, emit_records, flat_table
+from codekiln.operators.nested import CHILD_KINDS, children, emit_records, flat_table, read_table, write_tables
 from codekiln.plans import diagnostic_queries, profiling_queries, rule_queries, source_queries, tree_queries
 from codekiln.plans.catalog import table
+from codekiln.session import scratch_dir
 
 MODULES = [profiling_queries, diagnostic_queries, tree_queries, rule_queries, source_queries]
 
@@ -21,8 +26,16 @@ def p2_code_smells(spark: SparkSession, folder: str) -> DataFrame:
     return flat_table(emit_records(table(spark, folder, "analyses")), "code_smell")
 
 
+def p2_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The emission written by tag, and of each child table, read with its schema, the rows and the analyses they belong to."""
+    path = os.path.join(scratch_dir(spark), f"nested-{uuid.uuid4().hex}")
+    write_tables(emit_records(table(spark, folder, "analyses")), path)
+    read = [read_table(spark, path, tag).select(F.lit(tag).alias("table_tag"), "analysis_id", "parent_key") for tag in CHILD_KINDS]
+    return reduce(DataFrame.unionByName, read).groupBy("table_tag").agg(F.count("*").alias("n_rows"), F.countDistinct("parent_key").alias("n_parents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [p2_found, p2_code_smells, *(q for m in MODULES for q in m.QUERIES)]}
+    return {f.__name__: f for f in [p2_found, p2_code_smells, p2_tables, *(q for m in MODULES for q in m.QUERIES)]}
 
 
 def _object(x: str) -> str:
@@ -56,4 +69,5 @@ P2_SQL = f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL} | {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    tables = f"select child_kind as table_tag, count(*) as n_rows, count(distinct (analysis_id, child_kind, parent_no, case when parent_no < 0 then 0 else 1 end)) as n_parents from ({P2_SQL}) group by 1"
+    return {"p2_found": P2_SQL, "p2_tables": tables} | {name: sql for m in MODULES for name, sql in m.SQL.items()}

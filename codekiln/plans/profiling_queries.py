@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codekiln.operators import profiling as p
 from codekiln.plans.catalog import table
+from codekiln.session import scratch_dir
+from codekiln.streaming import pipelines
 
 CUT = "timestamp '2024-06-01 00:00:00'"
 
@@ -80,7 +85,17 @@ def corpus_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.rollup("category", "subcategory").agg(F.count("*").alias("pairs"), F.sum("n").alias("characters"))
 
 
-QUERIES = [bench_summary, bench_summary_missing, bench_stop_on_failure, bench_compare, bench_trend, bench_chart, history_tail, history_tail_per_key, baseline_latest, latest_staged, tumbling_summary, corpus_rollup]
+def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily windows of the runs read as a stream until all of it is used; the last windows stay open."""
+    whole = table(spark, folder, "runs")
+    base = os.path.join(scratch_dir(spark), f"stream-{uuid.uuid4().hex}")
+    whole.select("run_target", "duration_ms", "ts").write.parquet(f"{base}/in")
+    runs = spark.readStream.schema(pipelines.RUN_SCHEMA).parquet(f"{base}/in")
+    pipelines.append_stream(pipelines.windowed_runs(runs, "1 day"), f"{base}/out", f"{base}/marks").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("run_target").agg(F.count("*").alias("windows"), F.sum("run_count").alias("runs"))
+
+
+QUERIES = [bench_summary, bench_summary_missing, bench_stop_on_failure, bench_compare, bench_trend, bench_chart, history_tail, history_tail_per_key, baseline_latest, latest_staged, tumbling_summary, corpus_rollup, stream_windows]
 
 _RUNS = "runs_clean as (select distinct * from runs where duration_ms is not null and not isnan(duration_ms) and duration_ms >= 0 and run_target is not null)"
 

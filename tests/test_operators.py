@@ -304,3 +304,22 @@ def test_members_cards_frames_and_saved_models(spark, tmp_path):
     again, means = risk_model.load_model(spark, str(tmp_path))
     assert set(means) == set(text_features.FEATURE_COLUMNS)
     assert risk_model.predict(again, labelled, "id").select("predicted").collect() == risk_model.predict(model, labelled, "id").select("predicted").collect()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_is_a_join(spark, how):
+    from codekiln.operators.skew import salted_join
+
+    rows = spark.createDataFrame([(k % 3 if k % 10 else None, k) for k in range(60)], "g int, k int")
+    few = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c"), (None, "d")], "g int, name string")
+    expected = rows.join(few, "g", how)
+    assert sorted(map(repr, salted_join(rows, few, ["g"], "k", how).select("g", "k", "name").collect())) == sorted(map(repr, expected.select("g", "k", "name").collect()))
+
+
+def test_spread_keeps_rows(spark):
+    from codekiln.session import spread
+
+    rows = spark.range(10).coalesce(1)
+    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(r[0] for r in spread(rows).collect()) == list(range(10))
+    many = spark.range(100).repartition(9)
+    assert spread(many) is many
