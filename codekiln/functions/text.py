@@ -153,6 +153,14 @@ def impact_of(action: Column, severity: Column) -> Column:
     return F.when(action == "edit", F.when(severity.isin("HIGH", "CRITICAL"), "HIGH").otherwise("MEDIUM")).when(action == "check", "MEDIUM").otherwise("LOW")
 
 
+def feature_label(name: Column, labels: dict[str, str] | None = None) -> Column:
+    """A feature's label, or its name in words."""
+    words = sentence_case(F.replace(name, F.lit("_"), F.lit(" ")))
+    if not labels:
+        return words
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), name), words)
+
+
 def percent_text(p: Column) -> Column:
     return F.coalesce(F.concat(F.floor(p * 100 + 0.5).cast("string"), F.lit("%")), F.lit("N/A"))
 

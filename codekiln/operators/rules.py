@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +47,6 @@ def _literal(rules: DataFrame) -> Column:
         raise ValueError(f"there may be {MOST_ROWS} rules")
     if not rows:
         return F.from_json(F.lit("[]"), f"array<{rules.schema.simpleString()}>")
-    import json
-
     return F.from_json(F.lit(json.dumps([r.asDict(recursive=True) for r in rows])), f"array<{rules.schema.simpleString()}>")
 
 

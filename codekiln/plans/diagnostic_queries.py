@@ -86,9 +86,6 @@ def first_sentence(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = [diag_parse, diag_counts, diag_match, diag_unmatched, diag_explain, quickfix_rank, quickfix_dedupe, diag_fallback, token_overlap, edit_similarity, first_sentence]
 
-_NORM = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
-
-
 def _norm(x: str) -> str:
     return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
 

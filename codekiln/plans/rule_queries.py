@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -166,9 +168,6 @@ _ISSUES = """iss as (select file_id, (['memory_risk', 'copy_hotspot', 'unused_va
 
 @lru_cache
 def _json(name: str) -> list | dict:
-    import json
-    import os
-
     with open(os.path.join(_DATA, f"{name}.json"), encoding="utf-8") as f:
         return json.load(f)
 

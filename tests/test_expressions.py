@@ -42,6 +42,12 @@ def test_sentences_and_cases(spark):
     assert value(spark, text.action_of(F.lit("Check the address"))) == "edit"
 
 
+def test_feature_labels(spark):
+    labels = {"loops_total": "Loops"}
+    assert value(spark, text.feature_label(F.lit("loops_total"), labels)) == "Loops"
+    assert value(spark, text.feature_label(F.lit("stl_total"), labels)) == value(spark, text.feature_label(F.lit("stl_total"))) == "Stl total"
+
+
 def test_complexity_list(spark):
     def time(loops, depth, recursion, stl, many=False, deep=False):
         growth, sure = score.time_complexity(F.lit(loops), F.lit(depth), F.lit(recursion), F.lit(stl), F.lit(many), F.lit(deep))
