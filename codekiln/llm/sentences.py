@@ -46,8 +46,13 @@ class Rule:
         return (before is None or before.search(text, since, mark_end) is not None) and after.match(text, place) is not None
 
 
+#: The last words of all abbreviations in the tables.
+_LAST_WORDS: set[str] = set()
+
+
 def _words(alternatives: str) -> str:
     """Any of the abbreviations, standing as a word of its own; a blank in one may be any white space or none."""
+    _LAST_WORDS.update(re.findall(r"\w+", a)[-1].lower() for a in alternatives.split("|"))
     listed = [r"\s*".join(re.escape(part) for part in a.split(" ")) for a in alternatives.split("|")]
     return rf"(?<![\w.])(?:{'|'.join(listed)})"
 
@@ -149,6 +154,15 @@ def _quotations(text: str, start: int, end: int) -> list[tuple[int, int, bool, b
     return out
 
 
+def _may_be_short(text: str, mark: int) -> bool:
+    """Whether a point at mark can belong to a rule of a language: after a last word of an abbreviation, a number, a single letter, or in a script of other signs."""
+    at = mark
+    while at and text[at - 1].isalnum():
+        at -= 1
+    word = text[at:mark]
+    return len(word) < 2 or word[0].isdigit() or word[-1] > "\u052f" or word.lower() in _LAST_WORDS
+
+
 def _ends(text: str, start: int, end: int) -> Iterator[int]:
     """Where sentences of the paragraph text[start:end] end."""
     body = text[start:end]
@@ -175,7 +189,7 @@ def _ends(text: str, start: int, end: int) -> Iterator[int]:
         if ")" in m[0] and (whole := body[: max(0, body.rfind("(", 0, m.start()))].rstrip())[-1:] in ("", *_MARKS) and not re.search(r"\w", body[len(whole) : body.rfind("(", 0, m.start())]):
             yield start + place  # all of the sentence is in brackets
             continue
-        known = rules if body[m.start() : mark_end] == "." else []
+        known = rules if body[m.start() : mark_end] == "." and _may_be_short(body, m.start()) else []
         rule = next((r for r in [*known, *ALL_LANGUAGES] if r.matches(body, since, place if r.before == r"[)\]]" else mark_end, place)), None)
         if rule is not None and rule.breaks:
             yield start + place
