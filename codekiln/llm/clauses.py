@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -70,11 +71,12 @@ _AFTERTHOUGHT = re.compile(r"(?:\s|//|#|\.{3}|…|\[\.{3}\]|\[truncated\]|<trunc
 def code_language(text: str) -> str:
     """cpp, javascript, python or shell, "braces" for either of the first two, or "" where nothing shows it."""
     words = text.split()
-    counts = {name: sum(w in own for w in words) for name, own in _SHOWS.items()}
+    times = Counter(words)
+    counts = {name: sum(times[w] for w in own) for name, own in _SHOWS.items()}
     counts["javascript"] += text.count("console.log(") + text.count("require(") + text.count("module.exports")
     counts["python"] += text.count(":\n") + text.count("print(") + text.count("self.") - text.count(";\n") - text.count("{\n")
     counts["cpp"] += text.count("std::") + text.count("vector<")
-    counts["shell"] = counts["shell"] * 2 if "then" in words or text.startswith("#!") else 0
+    counts["shell"] = counts["shell"] * 2 if "then" in times or text.startswith("#!") else 0
     best = max(counts, key=counts.__getitem__)
     if counts[best] > 0 and sorted(counts.values())[-2] < counts[best]:
         return best
