@@ -107,12 +107,21 @@ def prefixes(rows: DataFrame, counters: np.ndarray, params: CrossSplitParams) ->
     return rows.mapInPandas(run, "id long, set_1 long, set_2 long, n int, evaluation boolean, tokens array<long>")
 
 
-def cross_split_overlaps(docs: DataFrame, id_col: str, text_col: str, split_col: str, params: CrossSplitParams) -> DataFrame:
-    """train_id, eval_id of every training row and evaluation row at least params.threshold alike.
+@dataclass(frozen=True)
+class CrossSplitLinks:
+    """members: evaluation, rep (the smallest id of its side with the same shingle set), id.
+    links: id_1, id_2, shared, either, of a training and an evaluation representative."""
+
+    members: DataFrame
+    links: DataFrame
+
+
+def cross_split_links(docs: DataFrame, id_col: str, text_col: str, split_col: str, params: CrossSplitParams) -> CrossSplitLinks:
+    """The classes of training and of evaluation rows that are at least params.threshold alike.
 
     Rows whose split is null or unknown, null ids and texts, and texts of fewer words
-    than a shingle has are left out. Rows of one side with equal shingle sets are
-    compared once and come out each (see linked_members for very many copies).
+    than a shingle has are left out. Rows of one side with equal shingle sets form a
+    class and are compared once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), split_side(F.col(split_col)).alias("side"), F.col(text_col).alias("text"))
     rows = rows.filter("id is not null and text is not null and side is not null").select("id", F.col("side").isin("validation", "test").alias("evaluation"), "text")
@@ -131,29 +140,31 @@ def cross_split_overlaps(docs: DataFrame, id_col: str, text_col: str, split_col:
     long_enough = F.least("n_1", "n_2") >= t * F.greatest("n_1", "n_2") - 1e-9
     reachable = 1 + F.least(F.col("n_1") - F.col("pos_1") - 1, F.col("n_2") - F.col("pos_2") - 1) >= F.ceil(t / (1 + t) * (F.col("n_1") + F.col("n_2")) - 1e-9)
     met = probe.join(index, "token").filter(long_enough & reachable).select("id_1", "id_2").distinct()
-    links = verify_pairs(met, rows.select("id", "text"), params.words, t)
-    pairs = linked_members(links, members.filter("not evaluation").select("rep", "id"), members.filter("evaluation").select("rep", "id"), params.expand)
-    return pairs.select(F.col("row_1").alias("train_id"), F.col("row_2").alias("eval_id"))
+    return CrossSplitLinks(members, verify_pairs(met, rows.select("id", "text"), params.words, t))
 
 
-def overlap_report(docs: DataFrame, pairs: DataFrame, id_col: str, split_col: str, source_col: str, label_col: str) -> DataFrame:
-    """split, source, rows, overlapping_rows, links, agreeing_links, unlabelled_links for each evaluation split and source.
+def cross_split_overlaps(docs: DataFrame, id_col: str, text_col: str, split_col: str, params: CrossSplitParams) -> DataFrame:
+    """train_id, eval_id of every training row and evaluation row at least params.threshold alike (see cross_split_links).
 
-    A link agrees if both rows have the same label; one with a null label is
-    unlabelled. A null source is a source of its own. Classes of very many copies are
-    linked as a star (see linked_members) and counted so; overlapping_rows is whole.
+    The members of two linked classes come out each (see linked_members for very many copies).
     """
+    found = cross_split_links(docs, id_col, text_col, split_col, params)
+    train, evaluation = (found.members.filter(side).select("rep", "id") for side in ("not evaluation", "evaluation"))
+    pairs = linked_members(found.links, train, evaluation, params.expand)
+    return pairs.select(F.col("row_1").alias("train_id"), F.col("row_2").alias("eval_id"))
+
+
+def _labelled(docs: DataFrame, id_col: str, split_col: str, source_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+    """id, side, of, label of all rows, and of those of an evaluation split."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), split_side(F.col(split_col)).alias("side"), F.col(source_col).alias("of"), F.col(label_col).alias("label"))
-    evaluation = base.filter(F.col("side").isin("validation", "test"))
-    named = pairs.join(base.select(F.col("id").alias("train_id"), F.col("label").alias("train_label")), "train_id")
-    by_row = (
-        named.join(evaluation.select(F.col("id").alias("eval_id"), "label"), "eval_id")
-        .groupBy("eval_id")
-        .agg(F.count("*").alias("links"), F.sum((F.col("label") == F.col("train_label")).cast("long")).alias("agree"), F.sum((F.col("label").isNull() | F.col("train_label").isNull()).cast("long")).alias("unlabelled"))
-    )
+    return base, base.filter(F.col("side").isin("validation", "test"))
+
+
+def _reported(evaluation: DataFrame, by_row: DataFrame) -> DataFrame:
+    """The report of evaluation rows and by_row (id, links, agree, unlabelled)."""
     none = F.lit(0).cast("long")
     return (
-        evaluation.join(by_row.withColumnRenamed("eval_id", "id"), "id", "left")
+        evaluation.join(by_row, "id", "left")
         .groupBy(F.col("side").alias("split"), F.col("of").alias("source"))
         .agg(
             F.count("*").alias("rows"),
@@ -163,3 +174,37 @@ def overlap_report(docs: DataFrame, pairs: DataFrame, id_col: str, split_col: st
             F.coalesce(F.sum("unlabelled"), none).alias("unlabelled_links"),
         )
     )
+
+
+def overlap_report(docs: DataFrame, pairs: DataFrame, id_col: str, split_col: str, source_col: str, label_col: str) -> DataFrame:
+    """split, source, rows, overlapping_rows, links, agreeing_links, unlabelled_links for each evaluation split and source.
+
+    A link agrees if both rows have the same label; one with a null label is
+    unlabelled. A null source is a source of its own. What pairs leave out isn't
+    counted; class_report counts all links without making them.
+    """
+    base, evaluation = _labelled(docs, id_col, split_col, source_col, label_col)
+    named = pairs.join(base.select(F.col("id").alias("train_id"), F.col("label").alias("train_label")), "train_id")
+    by_row = (
+        named.join(evaluation.select(F.col("id").alias("eval_id"), "label"), "eval_id")
+        .groupBy("eval_id")
+        .agg(F.count("*").alias("links"), F.sum((F.col("label") == F.col("train_label")).cast("long")).alias("agree"), F.sum((F.col("label").isNull() | F.col("train_label").isNull()).cast("long")).alias("unlabelled"))
+    )
+    return _reported(evaluation, by_row.withColumnRenamed("eval_id", "id"))
+
+
+def class_report(docs: DataFrame, found: CrossSplitLinks, id_col: str, split_col: str, source_col: str, label_col: str) -> DataFrame:
+    """The overlap_report of all pairs that found stands for, whatever the size of its classes.
+
+    Training rows are counted by class and label, so each evaluation row meets one
+    row for each label of what its class is linked to and no pair of rows is made.
+    """
+    base, evaluation = _labelled(docs, id_col, split_col, source_col, label_col)
+    train = found.members.filter("not evaluation").join(base.select("id", "label"), "id").groupBy("rep", "label").agg(F.count("*").alias("n"))
+    heard = found.links.select(F.col("id_1").alias("rep"), "id_2").join(train, "rep").groupBy("id_2", "label").agg(F.sum("n").alias("n"))
+    heard = materialize(heard.select(F.col("id_2").alias("rep"), "label", "n"), "heard")
+    totals = heard.groupBy("rep").agg(F.sum("n").alias("links"), F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("n"))), F.lit(0)).alias("bare"))
+    rows = found.members.filter("evaluation").select("rep", "id").join(evaluation.select("id", "label"), "id")
+    rows = salted_join(salted_join(rows, totals, ["rep"], "id"), heard.withColumnRenamed("n", "agree"), ["rep", "label"], "id", "left")
+    by_row = rows.groupBy("id").agg(F.sum("links").alias("links"), F.sum("agree").alias("agree"), F.sum(F.when(F.col("label").isNull(), F.col("links")).otherwise(F.col("bare"))).alias("unlabelled"))
+    return _reported(evaluation, by_row)

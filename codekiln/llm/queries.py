@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codekiln.llm.answers import is_blank, is_empty_answer
 from codekiln.llm.bpe import encode_corpus, load_merges, token_counts
-from codekiln.llm.cross_split import CrossSplitParams, cross_split_overlaps, overlap_report
+from codekiln.llm.cross_split import CrossSplitParams, class_report, cross_split_links, cross_split_overlaps
 from codekiln.llm.formatting_duplicates import collapse_records, repeats
 from codekiln.llm.mixing import Mix, mix_sources
 from codekiln.llm.near_duplicates import NearDuplicateParams, NearDuplicates, group_rows, near_duplicates, row_pairs
@@ -70,16 +70,13 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return group_rows(_near(spark, folder))
 
 
-def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    return cross_split_overlaps(table(spark, folder, "code_pairs"), "pair_id", "unoptimized", "split", CROSS)
-
-
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _overlaps(spark, folder).selectExpr("least(train_id, eval_id) as pair_id_1", "greatest(train_id, eval_id) as pair_id_2")
+    return cross_split_overlaps(table(spark, folder, "code_pairs"), "pair_id", "unoptimized", "split", CROSS).selectExpr("least(train_id, eval_id) as pair_id_1", "greatest(train_id, eval_id) as pair_id_2")
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap_report(table(spark, folder, "code_pairs"), _overlaps(spark, folder), "pair_id", "split", "source", "performance_risk")
+    pairs = table(spark, folder, "code_pairs")
+    return class_report(pairs, cross_split_links(pairs, "pair_id", "unoptimized", "split", CROSS), "pair_id", "split", "source", "performance_risk")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
