@@ -37,7 +37,7 @@ class CrossSplitParams:
     words: int = 5
     threshold: float = 0.8
     counter_bits: int = 21
-    expand: int = 10_000
+    expand: int | None = None
 
 
 def split_side(split: Column) -> Column:
@@ -146,7 +146,7 @@ def cross_split_links(docs: DataFrame, id_col: str, text_col: str, split_col: st
 def cross_split_overlaps(docs: DataFrame, id_col: str, text_col: str, split_col: str, params: CrossSplitParams) -> DataFrame:
     """train_id, eval_id of every training row and evaluation row at least params.threshold alike (see cross_split_links).
 
-    The members of two linked classes come out each (see linked_members for very many copies).
+    The members of two linked classes come out each; params.expand: see linked_members.
     """
     found = cross_split_links(docs, id_col, text_col, split_col, params)
     train, evaluation = (found.members.filter(side).select("rep", "id") for side in ("not evaluation", "evaluation"))

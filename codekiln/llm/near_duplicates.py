@@ -38,7 +38,7 @@ class NearDuplicateParams:
     batch: int = 16
     miss: float = 1e-6
     block: int = 500
-    expand: int = 10_000
+    expand: int | None = None
 
 
 def _binomial_below(n: int, p: float, m: int) -> float:
@@ -185,11 +185,17 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, params: NearDup
     return NearDuplicates(members, materialize(links, "links"))
 
 
-def row_pairs(found: NearDuplicates, expand: int) -> DataFrame:
-    """pair_id_1 < pair_id_2 of rows, copies included; see linked_members for classes of very many copies."""
+def row_pairs(found: NearDuplicates, expand: int | None = None) -> DataFrame:
+    """pair_id_1 < pair_id_2 of rows, copies included, all of them unless `expand` is given; see linked_members."""
     own = found.members.groupBy("rep").count().filter("count > 1").select(F.col("rep").alias("id_1"), F.col("rep").alias("id_2"))
-    rows = linked_members(found.links.select("id_1", "id_2").unionByName(own), found.members, found.members, expand)
-    return rows.filter("row_1 <> row_2").select(F.least("row_1", "row_2").alias("pair_id_1"), F.greatest("row_1", "row_2").alias("pair_id_2")).distinct()
+    between = linked_members(found.links, found.members, found.members, expand)
+    within = linked_members(own, found.members, found.members, expand)
+    if expand is None:
+        within = within.filter("row_1 < row_2")  # both orders come
+    rows = between.unionByName(within).filter("row_1 <> row_2").select(F.least("row_1", "row_2").alias("pair_id_1"), F.greatest("row_1", "row_2").alias("pair_id_2"))
+    # A pair comes more than once only where an id has several texts, or as a star.
+    once = expand is None and found.members.groupBy("id").count().filter("count > 1").isEmpty()
+    return rows if once else rows.distinct()
 
 
 def connected_groups(pairs: DataFrame) -> DataFrame:

@@ -53,22 +53,42 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, words: int, threshold: floa
     return together.mapInPandas(run, "id_1 long, id_2 long, shared long, either long")
 
 
-def linked_members(pairs: DataFrame, left: DataFrame, right: DataFrame, expand: int) -> DataFrame:
+def _member_blocks(members: DataFrame, block: int) -> DataFrame:
+    """rep, block, ids: the members (rep, id) of each class in arrays of about `block` at most."""
+    crowds = members.groupBy("rep").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1")
+    placed = salted_join(members.select("rep", "id"), crowds, ["rep"], "id", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))))
+    return materialize(placed.groupBy("rep", "block").agg(F.collect_list("id").alias("ids")), "blocks")
+
+
+def _combinations(pairs: DataFrame, left: DataFrame, right: DataFrame, block: int) -> DataFrame:
+    """All row_1, row_2 behind pairs; blocks of members are paired first and spread over tasks, where they become rows."""
+    own = _member_blocks(left, block)
+    first = own.select(F.col("rep").alias("id_1"), F.col("block").alias("block_1"), F.col("ids").alias("ids_1"))
+    second = (own if left is right else _member_blocks(right, block)).select(F.col("rep").alias("id_2"), F.col("block").alias("block_2"), F.col("ids").alias("ids_2"))
+    met = pairs.join(first, "id_1").join(second, "id_2")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(tasks, "id_1", "block_1", "id_2", "block_2").select("ids_1", "ids_2")
+    return met.select(F.explode("ids_1").alias("row_1"), "ids_2").select("row_1", F.explode("ids_2").alias("row_2"))
+
+
+def linked_members(pairs: DataFrame, left: DataFrame, right: DataFrame, expand: int | None = None, block: int = 1000) -> DataFrame:
     """Pairs of rows behind pairs (id_1, id_2) of class representatives: row_1 of left, row_2 of right.
 
-    left and right hold (rep, id), a row for each member of a class. Two classes
-    with at most `expand` combinations give them all. Larger ones would grow with
-    the square of the copies; they give each member with the other class's
-    representative, from which, with the classes, every combination follows.
+    left and right hold (rep, id), a row for each member of a class. All
+    combinations come out, in tasks of about block x block at a time. If `expand` is
+    given, two classes with more combinations give only each member with the other
+    class's representative, from which, with the classes, every combination follows.
     """
+    pairs = materialize(pairs.select("id_1", "id_2"), "linked")
+    if expand is None:
+        return _combinations(pairs, left, right, block)
     sizes_1 = left.groupBy("rep").agg(F.count("*").alias("n_1")).withColumnRenamed("rep", "id_1")
     sizes_2 = right.groupBy("rep").agg(F.count("*").alias("n_2")).withColumnRenamed("rep", "id_2")
-    sized = materialize(pairs.select("id_1", "id_2").join(sizes_1, "id_1").join(sizes_2, "id_2"), "sized")
+    sized = materialize(pairs.join(sizes_1, "id_1").join(sizes_2, "id_2"), "sized")
+    few = sized.filter(F.col("n_1") * F.col("n_2") <= expand).select("id_1", "id_2")
+    many = sized.filter(F.col("n_1") * F.col("n_2") > expand).select("id_1", "id_2")
     members_1 = left.select(F.col("rep").alias("id_1"), F.col("id").alias("row_1"))
     members_2 = right.select(F.col("rep").alias("id_2"), F.col("id").alias("row_2"))
-    few = sized.filter(F.col("n_1") * F.col("n_2") <= expand)
-    many = sized.filter(F.col("n_1") * F.col("n_2") > expand)
-    whole = few.join(members_1, "id_1").join(members_2, "id_2").select("row_1", "row_2")
-    spoke_1 = salted_join(members_1, many.select("id_1", "id_2"), ["id_1"], "row_1").select("row_1", F.col("id_2").alias("row_2"))
-    spoke_2 = salted_join(members_2, many.select("id_1", "id_2"), ["id_2"], "row_2").select(F.col("id_1").alias("row_1"), "row_2")
-    return whole.unionByName(spoke_1.unionByName(spoke_2).distinct())
+    spoke_1 = salted_join(members_1, many, ["id_1"], "row_1").select("row_1", F.col("id_2").alias("row_2"))
+    spoke_2 = salted_join(members_2, many, ["id_2"], "row_2").select(F.col("id_1").alias("row_1"), "row_2")
+    return _combinations(few, left, right, block).unionByName(spoke_1.unionByName(spoke_2).distinct())

@@ -2,7 +2,7 @@
 
 import pytest
 
-from codekiln.llm import queries
+from codekiln.llm import queries, verify
 
 QUERIES = queries.queries()
 TRAIN, HELD = 150, 80
@@ -29,3 +29,19 @@ def test_report_counts_all_links(spark, copies):
             for k, n in enumerate((1, 1, TRAIN, agree, bare)):
                 side[k] += n
     assert {(r[0], r[1]): list(r[2:]) for r in QUERIES["p6_report"](spark, folder).collect()} == counts
+
+
+def test_all_pairs_of_many_copies(spark, copies):
+    rows, folder = copies
+    ids = [r[0] for r in rows]
+    assert sorted(map(tuple, QUERIES["p5_found"](spark, folder).collect())) == [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]]
+    train, held = ids[:TRAIN], ids[TRAIN:]
+    assert sorted(map(tuple, QUERIES["p6_found"](spark, folder).collect())) == [(a, b) for a in train for b in held]
+
+
+def test_blocks_of_members_give_all_combinations(spark):
+    left = spark.createDataFrame([(0, k) for k in range(30)] + [(100, 100)], "rep long, id long")
+    right = spark.createDataFrame([(200, 200 + k) for k in range(25)], "rep long, id long")
+    links = spark.createDataFrame([(0, 200), (100, 200)], "id_1 long, id_2 long")
+    got = sorted(map(tuple, verify.linked_members(links, left, right, block=4).collect()))
+    assert got == [(a, b) for a in [*range(30), 100] for b in range(200, 225)]
