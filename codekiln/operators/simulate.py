@@ -169,112 +169,117 @@ def allocated(expression: str) -> tuple[str, int | None] | None:
 
 
 class _Tracer:
-    def __init__(self, cap: int, most_steps: int) -> None:
-        self.cap, self.most, self.rows, self.scopes, self.next_scope, self.bound = cap, most_steps, [], [0], 1, {}
+    """Gives the steps as they arise; none are kept."""
 
-    def step(self, event: str, line: int, detail: str = "", **more: object) -> None:
-        if len(self.rows) < self.most:
-            self.rows.append({"event_type": event, "line": line, "detail": detail, "scope_id": self.scopes[-1], **more})
+    def __init__(self, cap: int) -> None:
+        self.cap, self.scopes, self.next_scope, self.bound = cap, [0], 1, {}
 
-    def inside(self, body: list[Statement]) -> None:
+    def step(self, event: str, line: int, detail: str = "", **more: object) -> dict:
+        return {"event_type": event, "line": line, "detail": detail, "scope_id": self.scopes[-1], **more}
+
+    def inside(self, body: list[Statement]) -> Iterator[dict]:
         self.scopes.append(self.next_scope)
         self.next_scope += 1
-        self.run(body)
+        yield from self.run(body)
         self.scopes.pop()
 
-    def run(self, block: list[Statement]) -> None:
+    def run(self, block: list[Statement]) -> Iterator[dict]:
         for s in block:
-            if len(self.rows) >= self.most:
-                return
-            self.one(s)
+            yield from self.one(s)
 
-    def one(self, s: Statement) -> None:
+    def one(self, s: Statement) -> Iterator[dict]:
         if not s.text:
-            self.inside(s.body or [])
+            yield from self.inside(s.body or [])
             return
-        self.step("line-enter", s.line, s.text)
+        yield self.step("line-enter", s.line, s.text)
         control = _CONTROL.match(s.text)
         word = control[1] if control else s.text.split(" ")[0].split("(")[0]
         if word in UNSUPPORTED:
-            self.step("unsupported", s.line, word, warning="unsupported_construct")
-            self.run(s.body or [])
+            yield self.step("unsupported", s.line, word, warning="unsupported_construct")
+            yield from self.run(s.body or [])
         elif freed := _FREED.match(s.text):
             name = freed[2] or freed[4]
-            self.step("statement", s.line, f"free {name}", variable=name, heap="free", bytes=self.bound.pop(name, None))
+            yield self.step("statement", s.line, f"free {name}", variable=name, heap="free", bytes=self.bound.pop(name, None))
         elif word in ("if", "else if"):
-            self.branch(s)
+            yield from self.branch(s)
         elif word == "for":
-            self.loop(s, "for", *for_plan(_head(s.text)[1], self.cap))
+            yield from self.loop(s, "for", *for_plan(_head(s.text)[1], self.cap))
         elif word == "while":
             way = decide(_head(s.text)[1])
-            self.loop(s, "while", 0 if way is False else self.cap, way, None, 0, 0)
+            yield from self.loop(s, "while", 0 if way is False else self.cap, way, None, 0, 0)
         elif s.body is not None:
-            self.block(s)
+            yield from self.block(s)
         elif m := _DECLARED.match(s.text):
-            self.assign(s, "declare", m[1], m[2] or "=", m[3])
+            yield from self.assign(s, "declare", m[1], m[2] or "=", m[3])
         elif m := _ASSIGNED.match(s.text):
-            self.assign(s, "assign", m[1], m[2], m[3])
+            yield from self.assign(s, "assign", m[1], m[2], m[3])
         elif word == "return":
-            self.step("return", s.line, s.text)
+            yield self.step("return", s.line, s.text)
         else:
             taken = allocated(s.text)
-            self.step("statement", s.line, s.text, **({"heap": "allocate", "bytes": taken[1]} if taken else {}))
+            yield self.step("statement", s.line, s.text, **({"heap": "allocate", "bytes": taken[1]} if taken else {}))
 
-    def branch(self, s: Statement) -> None:
+    def branch(self, s: Statement) -> Iterator[dict]:
         condition = _head(s.text)[1]
         way = decide(condition)
         decision = "indeterminate" if way is None else str(way).lower()
-        self.step("evaluate", s.line, condition, decision=decision, warning="indeterminate_condition" if way is None else None)
-        self.step("branch", s.line, "if" if way is not False else "else", decision=decision)
+        yield self.step("evaluate", s.line, condition, decision=decision, warning="indeterminate_condition" if way is None else None)
+        yield self.step("branch", s.line, "if" if way is not False else "else", decision=decision)
         if way is not False:
-            self.inside(s.body or [])
+            yield from self.inside(s.body or [])
         elif s.otherwise:
-            self.inside(s.otherwise)
+            yield from self.inside(s.otherwise)
 
-    def loop(self, s: Statement, kind: str, rounds: int, way: bool | None, variable: str | None, start: int, step: int) -> None:
+    def loop(self, s: Statement, kind: str, rounds: int, way: bool | None, variable: str | None, start: int, step: int) -> Iterator[dict]:
         decision = "indeterminate" if way is None else str(way).lower()
         capped = rounds >= self.cap
-        self.step("evaluate", s.line, _head(s.text)[1], decision=decision, loop_kind=kind, warning="indeterminate_condition" if way is None else None)
+        yield self.step("evaluate", s.line, _head(s.text)[1], decision=decision, loop_kind=kind, warning="indeterminate_condition" if way is None else None)
         for k in range(rounds):
-            self.step("loop-iteration", s.line, kind, iteration=k + 1, loop_kind=kind, variable=variable, value=str(start + k * step) if variable else None)
-            self.inside(s.body or [])
-        self.step("loop-exit", s.line, kind, iteration=rounds, loop_kind=kind, warning="loop_cap" if capped else None)
+            yield self.step("loop-iteration", s.line, kind, iteration=k + 1, loop_kind=kind, variable=variable, value=str(start + k * step) if variable else None)
+            yield from self.inside(s.body or [])
+        yield self.step("loop-exit", s.line, kind, iteration=rounds, loop_kind=kind, warning="loop_cap" if capped else None)
 
-    def block(self, s: Statement) -> None:
+    def block(self, s: Statement) -> Iterator[dict]:
         header = _FUNCTION.search(s.text)
         if header is None or re.match(r"(?:class|struct|union|enum|namespace)\b", s.text):
-            self.inside(s.body or [])
+            yield from self.inside(s.body or [])
             return
-        self.step("function-enter", s.line, header[1])
+        yield self.step("function-enter", s.line, header[1])
         self.scopes.append(self.next_scope)
         self.next_scope += 1
         for part in s.text[header.end() :].rsplit(")", 1)[0].split(","):
             if m := re.search(r"([A-Za-z_]\w*)\s*(?:\[\s*\])?$", part.split("=")[0].strip()):
                 if m[1] != "void":
-                    self.step("declare", s.line, "parameter", variable=m[1])
-        self.run(s.body or [])
+                    yield self.step("declare", s.line, "parameter", variable=m[1])
+        yield from self.run(s.body or [])
         self.scopes.pop()
-        self.step("function-exit", s.line, header[1])
+        yield self.step("function-exit", s.line, header[1])
 
-    def assign(self, s: Statement, event: str, name: str, operator: str, expression: str | None) -> None:
+    def assign(self, s: Statement, event: str, name: str, operator: str, expression: str | None) -> Iterator[dict]:
         taken = allocated(expression or "")
         if taken:
             self.bound[name] = taken[1]
         value = expression if operator == "=" or expression is None else f"{name} {operator} {expression}"
-        self.step(event, s.line, s.text, variable=name, value=value, **({"heap": "allocate", "bytes": taken[1]} if taken else {}))
+        yield self.step(event, s.line, s.text, variable=name, value=value, **({"heap": "allocate", "bytes": taken[1]} if taken else {}))
+
+
+def trace_steps(code: str, loop_cap: int = 20, most_steps: int | None = None) -> Iterator[dict]:
+    """The steps of one program as they arise; the last is `end`, or `step-limit` where most_steps is given and more would follow."""
+    line = code.count("\n") + 1
+    for k, step in enumerate(_Tracer(loop_cap).run(parse_statements(code))):
+        if k == most_steps:
+            yield {"event_type": "step-limit", "line": line, "detail": "", "scope_id": 0, "warning": "step_limit"}
+            return
+        yield step
+    yield {"event_type": "end", "line": line, "detail": "", "scope_id": 0, "warning": None}
 
 
-def trace_code(code: str, loop_cap: int = 20, most_steps: int = 20_000) -> list[dict]:
-    """The steps of one program; the last is `end`, or `step-limit` where the program was left off."""
-    tracer = _Tracer(loop_cap, most_steps)
-    tracer.run(parse_statements(code))
-    ended = len(tracer.rows) < most_steps
-    tracer.rows.append({"event_type": "end" if ended else "step-limit", "line": code.count("\n") + 1, "detail": "", "scope_id": 0, "warning": None if ended else "step_limit"})
-    return tracer.rows
+def trace_code(code: str, loop_cap: int = 20, most_steps: int | None = None) -> list[dict]:
+    return list(trace_steps(code, loop_cap, most_steps))
 
 
-def simulate(files: DataFrame, key: str, code: str, loop_cap: int = 20, most_steps: int = 20_000) -> DataFrame:
-    """TRACE rows of each file. loop_cap is 1 to 200. Null code gives only an end; ids may be null."""
+def simulate(files: DataFrame, key: str, code: str, loop_cap: int = 20, most_steps: int | None = None) -> DataFrame:
+    """TRACE rows of each file. loop_cap is 1 to 200; only it bounds a trace, unless most_steps is given. Null code gives only an end; ids may be null."""
     if not 1 <= loop_cap <= 200:
         raise ValueError("the loop cap is 1 to 200")
 
@@ -287,10 +292,12 @@ def simulate(files: DataFrame, key: str, code: str, loop_cap: int = 20, most_ste
         held: list[dict] = []
         for batch in batches:
             for one, text in zip(batch["file_id"], batch["code"], strict=True):
-                held += [r | {"file_id": one, "step_index": k} for k, r in enumerate(trace_code(text or "", loop_cap, most_steps))]
-                if len(held) >= 20_000:
-                    yield table(held)
-                    held = []
+                for k, step in enumerate(trace_steps(text or "", loop_cap, most_steps)):
+                    step["file_id"], step["step_index"] = one, k
+                    held.append(step)
+                    if len(held) >= 20_000:
+                        yield table(held)
+                        held = []
         yield table(held)
 
     return spread(files.select(F.col(key).cast("string").alias("file_id"), F.col(code).alias("code"))).mapInPandas(run, TRACE)
@@ -335,8 +342,9 @@ def trace_summary(trace: DataFrame) -> DataFrame:
         F.countDistinct(F.when(F.col("warning").isNotNull(), F.struct("warning", "line"))).alias("warnings"),
         F.count_if(F.col("warning") == "loop_cap").alias("cap_hits"),
         F.count_if(F.col("event_type") == "unsupported").alias("unsupported"),
+        F.count_if(F.col("event_type") == "step-limit").alias("left_off"),
     )
-    return grouped.withColumn("status", F.when(F.col("unsupported") > 0, "partial").otherwise("ok"))
+    return grouped.withColumn("status", F.when((F.col("unsupported") > 0) | (F.col("left_off") > 0), "partial").otherwise("ok")).drop("left_off")
 
 
 def frames(trace: DataFrame) -> DataFrame:
