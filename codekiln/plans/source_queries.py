@@ -53,9 +53,9 @@ def symbol_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def symbol_visibility(spark: SparkSession, folder: str) -> DataFrame:
-    """What can be seen at each tenth line."""
+    """What can be seen at each line."""
     lines = symbols.source_lines(table(spark, folder, "files").filter("code is not null"), "file_id", "code")
-    return symbols.visible_symbols(symbols.symbols(lines, "file_id"), lines.filter("line % 10 = 0"), "file_id")
+    return symbols.visible_symbols(symbols.symbols(lines, "file_id"), lines, "file_id")
 
 
 def included_headers(spark: SparkSession, folder: str) -> DataFrame:
