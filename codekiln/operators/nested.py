@@ -23,15 +23,29 @@ CHILD_ARRAYS = [
     ("time_note", ("complexityEstimate", "time", "notes"), None),
     ("space_note", ("complexityEstimate", "space", "notes"), None),
 ]
-#: Sections that have one record for each analysis.
-SECTIONS = [("features", ("features",)), ("time_complexity", ("complexityEstimate", "time")), ("space_complexity", ("complexityEstimate", "space"))]
+#: The analysis itself; it has no parent, and all records but suggestions have it as theirs.
+ROOT = "analysis"
+#: Sections that have one record for each analysis: tag, path, what has records or tables of its own.
+SECTIONS = [
+    ("semantic_checks", ("semanticChecks",), ("issues",)),
+    ("code_smells", ("codeSmells",), ("issues",)),
+    ("features", ("features",), ("notes",)),
+    ("complexity_estimate", ("complexityEstimate",), ("time", "space")),
+    ("time_complexity", ("complexityEstimate", "time"), ("notes",)),
+    ("space_complexity", ("complexityEstimate", "space"), ("notes",)),
+]
 CHILD_KINDS = [tag for tag, _, own in CHILD_ARRAYS for tag in ((tag, own) if own else (tag,))]
 OLDER_NAMES = {"complexityEstimate": "complexity"}
+SECTION_KINDS = [ROOT, *(tag for tag, _, _ in SECTIONS)]
 
 _LOCATION = "location struct<file string, line int, column int>"
 #: The schema of each table's payload; `value` is a record that is no object.
 TABLE_SCHEMAS = {
-    "features": "scope string, loops struct<total int, for int, while int, threshold int, exceedsThreshold boolean>, nesting struct<maxDepth int, threshold int>, "
+    ROOT: "fields map<string, string>",
+    "semantic_checks": "scope string",
+    "code_smells": "scope string",
+    "complexity_estimate": "scope string",
+    "features": "scope string, thresholds struct<loops int, nestingDepth int>, loops struct<total int, for int, while int, threshold int, exceedsThreshold boolean>, nesting struct<maxDepth int, threshold int>, "
     "pointers struct<declarations int, dereferences int, addressOf int>, allocations struct<heapNew int, mallocFamily string>, recursion struct<recursiveFunctionCount int>",
     "time_complexity": "bigO string, confidence string, factors map<string, int>",
     "space_complexity": "bigO string, confidence string, factors map<string, int>",
@@ -85,9 +99,11 @@ def visit(analysis_id: int, payload: str | None) -> Iterator[tuple]:
     if document is None:
         return
     root = str(analysis_id)
-    for tag, path in SECTIONS:
+    in_sections = {path[0] for _, path, _ in SECTIONS} | set(OLDER_NAMES.values())
+    yield analysis_id, ROOT, root, None, -1, 0, json.dumps({"fields": {k: v for k, v in document.items() if k not in in_sections}}, ensure_ascii=False)
+    for tag, path, without in SECTIONS:
         if (own := _as_object(_at(document, path))) is not None:
-            yield analysis_id, tag, f"{root}/{tag}", root, -1, 0, _payload(own, ("notes",))
+            yield analysis_id, tag, f"{root}/{tag}", root, -1, 0, _payload(own, without)
     for tag, path, own_tag in CHILD_ARRAYS:
         for no, child in enumerate(_elements(_at(document, path))):
             if child is None:

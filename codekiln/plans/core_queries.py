@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codekiln.operators.nested import CHILD_KINDS, children, emit_records, flat_table, read_table, write_tables
+from codekiln.operators.nested import CHILD_KINDS, SECTION_KINDS, children, emit_records, flat_table, read_table, write_tables
 from codekiln.plans import diagnostic_queries, profiling_queries, rule_queries, source_queries, tree_queries
 from codekiln.plans.catalog import table
 from codekiln.session import scratch_dir
@@ -34,8 +34,17 @@ def p2_tables(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, read).groupBy("table_tag").agg(F.count("*").alias("n_rows"), F.countDistinct("parent_key").alias("n_parents"))
 
 
+def p2_section_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """As p2_tables for the records that an analysis has one of: itself and its sections, with how many name a scope."""
+    path = os.path.join(scratch_dir(spark), f"nested-{uuid.uuid4().hex}")
+    write_tables(emit_records(table(spark, folder, "analyses")), path)
+    tables = {tag: read_table(spark, path, tag) for tag in SECTION_KINDS}
+    read = [own.select(F.lit(tag).alias("table_tag"), "record_key", (F.col("scope") if "scope" in own.columns else F.lit(None).cast("string")).alias("scope")) for tag, own in tables.items()]
+    return reduce(DataFrame.unionByName, read).groupBy("table_tag").agg(F.count("*").alias("n_rows"), F.count("scope").alias("n_scopes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [p2_found, p2_code_smells, p2_tables, *(q for m in MODULES for q in m.QUERIES)]}
+    return {f.__name__: f for f in [p2_found, p2_code_smells, p2_tables, p2_section_tables, *(q for m in MODULES for q in m.QUERIES)]}
 
 
 def _object(x: str) -> str:
