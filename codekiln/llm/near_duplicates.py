@@ -48,7 +48,7 @@ def _binomial_below(n: int, p: float, m: int) -> float:
 def least_matches(params: NearDuplicateParams) -> list[tuple[int, int]]:
     """(hashes seen, matches needed to go on) for each batch of the signature.
 
-    One byte of each hash is kept, so hashes match with p = s + (1 - s) / 256 at
+    One byte of each minimum is kept, mixed since minima of long texts are near 0, so hashes match with p = s + (1 - s) / 256 at
     likeness s. With a uniform prior, P(p >= q | m of n match) is the chance of at
     most m successes in n + 1 trials of chance q.
     """
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, params: NearDuplicat
                 names_1.append(np.add.reduce(mix(own ^ np.uint64(0x5BD1E995))).astype(np.int64))
                 names_2.append(np.add.reduce(mix(own + np.uint64(len(own)))).astype(np.int64))
                 keys.append(key.astype(np.int64))
-                bodies.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
+                bodies.append((mix(least.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes())
             yield pd.DataFrame({"id": ids, "set_1": names_1, "set_2": names_2, "bands": pd.Series(keys, dtype=object), "signature": pd.Series(bodies, dtype=object)})
 
     rows_in = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null"))
