@@ -65,10 +65,10 @@ def top_causes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rf_risk_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """A small forest on files and synthetic rows, and what it says of the files."""
+    """The forest on files and synthetic rows, and what it says of the files."""
     files = _features(spark, folder)
-    rows = m.training_rows(files, m.synthetic_rows(spark, 400))
-    model = m.fit_forest(rows, "risk_label", trees=20)
+    rows = m.training_rows(files, m.synthetic_rows(spark, 480))
+    model = m.fit_forest(rows, "risk_label")
     return m.predict(model, files, "file_id").select("file_id", "predicted", percent_text(F.col("probability")).alias("percent"))
 
 
