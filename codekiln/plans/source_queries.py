@@ -49,22 +49,22 @@ def line_depths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def symbol_table(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.symbols(symbols.source_lines(table(spark, folder, "files").filter("code is not null"), "file_id", "code"), "file_id")
+    return symbols.symbols(table(spark, folder, "files"), "file_id", "code")
 
 
 def symbol_visibility(spark: SparkSession, folder: str) -> DataFrame:
     """What can be seen at each line."""
     lines = symbols.source_lines(table(spark, folder, "files").filter("code is not null"), "file_id", "code")
-    return symbols.visible_symbols(symbols.symbols(lines, "file_id"), lines, "file_id")
+    return symbols.visible_symbols(symbol_table(spark, folder), lines, "file_id")
 
 
 def included_headers(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.included_headers(table(spark, folder, "files"), "file_id", "code")
+    return symbols.included_headers(table(spark, folder, "files"), "file_id", "code", symbols.STANDARD_HEADERS)
 
 
 def completions(spark: SparkSession, folder: str) -> DataFrame:
     """Names that the files declare or include, for the prefix m."""
-    own = symbol_table(spark, folder).select(F.col("name").alias("label"), F.lit("user").alias("source"))
+    own = symbol_table(spark, folder).filter(F.length("name") > 1).select(F.col("name").alias("label"), F.lit("user").alias("source"))
     library = included_headers(spark, folder).select(F.col("header").alias("label"), F.lit("library").alias("source"))
     return symbols.ranked_completions(own.unionByName(library).distinct(), F.lit("m"))
 
@@ -136,7 +136,8 @@ SQL = {
         c as (select file_id, line, unnest(string_split(regexp_replace(text, '[^{}]', '', 'g') || ' ', '')) as c, generate_subscripts(string_split(regexp_replace(text, '[^{}]', '', 'g') || ' ', ''), 1) as i from l),
         s as (select *, sum(case c when '{' then 1 when '}' then -1 else 0 end) over (partition by file_id order by line, i) as s from c), o as (select *, s - least(0, min(s) over (partition by file_id order by line, i)) as d from s),
         e as (select file_id, line, arg_max(d, i) as d from o group by 1, 2) select file_id, count(*) as lines, cast(max(d) as int) as deepest, cast(sum(d) as bigint) as depths from e group by 1""",
-    "included_headers": "select distinct file_id, string_split(h, '/')[-1] as header from (select file_id, unnest(regexp_extract_all(code, '#include\\s*<([^>]+)>', 1)) as h from files)",
+    "included_headers": f"""with i as (select file_id, unnest(regexp_extract_all(code, '#include\\s*[<"]([^>"]+)[>"]', 1)) as h from files)
+        select distinct file_id, regexp_replace(string_split(h, '/')[-1], '\\.h$', '') as header from i where h <> 'bits/stdc++.h' union select file_id, unnest({symbols.STANDARD_HEADERS}) from i where h = 'bits/stdc++.h'""",
     "heap_running": f"""with {_HEAP}, r as (select event_id, count(*) filter (kind = 'allocate') {_SO_FAR} as allocations, count(*) filter (kind = 'free') {_SO_FAR} as frees, coalesce(sum(amount) filter (kind = 'allocate') {_SO_FAR}, 0) as ba, coalesce(sum(amount) filter (kind = 'free') {_SO_FAR}, 0) as bf,
         count(*) filter (kind = 'allocate' and amount is null) {_SO_FAR} as unknown_allocations, count(*) filter (kind = 'free' and amount is null) {_SO_FAR} as unknown_frees from h)
         select event_id, allocations, frees, greatest(0, allocations - frees) as live, cast(ba as bigint) as bytes_allocated, cast(bf as bigint) as bytes_freed, cast(greatest(0, ba - bf) as bigint) as bytes_live, unknown_allocations, unknown_frees from r""",

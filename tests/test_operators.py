@@ -196,7 +196,7 @@ def test_rewrites():
     loop = "for (int i = 0; i < v.size(); ++i) { s += v[i]; }"
     assert refactor.as_range_loop(loop) == "for (const auto& item : v) { s += item; }"
     assert refactor.as_range_loop("for (int i = 0; i < v.size(); ++i) { s += i; }") is None
-    assert refactor.patch("a\nb\nc", "a\nx\nc").splitlines()[2:] == ["@@ -2,1 +2,1 @@", "-b", "+x"]
+    assert refactor.patch("a\nb\nc", "a\nx\nc").splitlines()[2:] == ["@@ -2 +2 @@", "-b", "+x"]
     assert refactor.patch("a", "a") == ""
     once = refactor.formatted("int f(){int x=1;for(int i=0;i<2;i++){x++;}return x;}")
     assert once.splitlines()[0] == "int f() {" and "    for(int i=0;i<2;i++) {" in once.splitlines() and refactor.formatted(once) == once
@@ -256,14 +256,51 @@ def test_history(spark, tmp_path):
 
 
 def test_symbols(spark):
-    code = "#include <bits/stdc++.h>\nclass Box {\n  int size = 1;\n};\nint twice(int x) {\n  int y = x;\n  return y;\n}\n"
-    rows = spark.createDataFrame([("f", code)], "id string, code string")
-    lines = symbols.source_lines(rows, "id", "code")
-    found = symbols.symbols(lines, "id")
-    assert {(r["name"], r["kind"]) for r in found.collect()} == {("Box", "Class"), ("size", "Variable"), ("twice", "Function"), ("y", "Variable")}
-    seen = symbols.visible_symbols(found, lines.filter("line = 4"), "id")
-    assert {r["name"] for r in seen.collect()} == {"Box"}
-    assert {r["header"] for r in symbols.included_headers(rows, "id", "code", {"stdc++.h": ["vector", "map"]}).collect()} == {"vector", "map"}
+    code = "#define LIMIT 3\nclass Box {\n  int size = 1;\n};\nint twice(int first, const std::map<int, Box>& boxes) {\n  volatile unsigned second = first;\n  Box made(second);\n  return second;\n}\n"
+    rows = spark.createDataFrame([("f", code), ("g", None), ("h", ""), ("i", "int (((")], "id string, code string")
+    found = symbols.symbols(rows, "id", "code")
+    assert {(r["id"], r["name"], r["kind"], r["type"], r["line"]) for r in found.collect()} == {
+        ("f", "LIMIT", "Constant", None, 1),
+        ("f", "Box", "Class", None, 2),
+        ("f", "size", "Variable", "int", 3),
+        ("f", "twice", "Function", None, 5),
+        ("f", "first", "Variable", None, 5),
+        ("f", "boxes", "Variable", None, 5),
+        ("f", "second", "Variable", "volatile unsigned", 6),
+        ("f", "made", "Variable", "Box", 7),
+    }
+    seen = symbols.visible_symbols(found, symbols.source_lines(rows, "id", "code").filter("line = 4"), "id")
+    assert {r["name"] for r in seen.collect()} == {"Box", "LIMIT"}
+
+
+def test_statements_that_look_like_declarations():
+    names = lambda code: [s[0] for s in symbols.symbols_of(code)]
+    assert names("return value; delete item; a < b; call(x); x = 3; goto end;") == []
+    assert names("typedef unsigned long wide_t; using Row = std::vector<int>; enum class Color { red };") == ["wide_t", "Row", "Color"]
+    assert names("// int gone;\n/* int gone; */ const char* kept = \"int gone;\";") == ["kept"]
+    assert names("int once(int a);\nint once(int a) { return a; }\ntemplate <class T>\nclass Box final {};") == ["once", "Box"]
+
+
+def test_included_headers(spark):
+    rows = spark.createDataFrame([("a", "#include <vector>\n#include \"util/list.h\"\n  #include<sys/time.h>\n#include <vector>"), ("b", "#include <bits/stdc++.h>\n#include \"x.hpp\""), ("c", None), ("d", "")], "id string, code string")
+    got = {(r["id"], r["header"]) for r in symbols.included_headers(rows, "id", "code", ["vector", "map"]).collect()}
+    assert got == {("a", "vector"), ("a", "list"), ("a", "time"), ("b", "vector"), ("b", "map"), ("b", "x.hpp")}
+
+
+def test_previews(spark):
+    """The two rewrites on the sources that the original behaviour is known for, and on some that must stay as they are."""
+    by_value = "void sum(std::vector<int> values) {\n  use(values);\n}\n"
+    loop = "void f(std::vector<int>& nums) {\n  for (int i = 0; i < nums.size(); ++i) {\n    use(nums[i]);\n  }\n}\n"
+    rows = spark.createDataFrame([("a", by_value), ("b", loop), ("c", None), ("d", ""), ("e", "int f(int x) { return x; }")], "id string, code string")
+    got = {(r["id"], r["rewrite"]): r["patch"].splitlines() for r in refactor.previews(rows, "id", "code").collect()}
+    assert set(got) == {("a", "const-reference"), ("b", "range-loop")}
+    assert got["a", "const-reference"] == ["--- a/preview", "+++ b/preview", "@@ -1 +1 @@", "-void sum(std::vector<int> values) {", "+void sum(const std::vector<int>& values) {"]
+    assert "+  for (const auto& item : nums) {" in got["b", "range-loop"] and "+    use(item);" in got["b", "range-loop"]
+    for code in ("if (vector<int> v) {}", "void f(const std::vector<int>& v);", "// void f(std::vector<int> v)", "void f(std::vector<int> v"):
+        assert refactor.by_const_reference(code) is None
+    for body in ("v[i] = 1;", "use(v[i + 1]);", "use(w.v[i]);", "use(i);", ""):
+        assert refactor.as_range_loop("for (size_t i = 0; i < v.size(); i++) { " + body + " }") is None
+    assert refactor.as_range_loop("for (std::size_t i = 0; i < v.size(); i++) { if (v[i]) { use(v [ i ]); } }") == "for (const auto& item : v) { if (item) { use(item); } }"
 
 
 def test_report_is_escaped(spark):
