@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_SCRATCH: list[str] = []
+_OWN_SCRATCH: dict[str | None, str] = {}
 
 
 def local_session(name: str = "codekiln", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -30,14 +31,34 @@ def local_session(name: str = "codekiln", cores: str = "*", partitions: int = 8)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
+    """This process's folder in the shared one that spark.checkpoint.dir names; it goes when the process ends.
+
+    Where that is unset, a session on this machine alone (tests) gets a temporary
+    folder; on a cluster, whose executors can't share one, it is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not _OWN_SCRATCH:
-        _OWN_SCRATCH.append(tempfile.mkdtemp(prefix="codekiln-"))
-        atexit.register(shutil.rmtree, _OWN_SCRATCH[0], ignore_errors=True)
-    return _OWN_SCRATCH[0]
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if shared not in _OWN_SCRATCH:
+        _OWN_SCRATCH[shared] = os.path.join(shared or tempfile.mkdtemp(prefix="codekiln-"), f"codekiln-{uuid.uuid4().hex}")
+        atexit.register(clean_scratch, spark, shared, os.getpid())
+    return _OWN_SCRATCH[shared]
+
+
+def clean_scratch(spark: SparkSession, shared: str | None = None, process: int | None = None) -> None:
+    """Deletes what this process has written to its scratch folder; tables that read from it can't be used any more."""
+    path = _OWN_SCRATCH.get(shared)
+    if path is None or process not in (None, os.getpid()):
+        return
+    del _OWN_SCRATCH[shared]
+    try:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session is gone; what is on this machine can still go
+        shutil.rmtree(path, ignore_errors=True)
+    if not shared:
+        shutil.rmtree(os.path.dirname(path), ignore_errors=True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
