@@ -123,13 +123,22 @@ def nesting_depth(nodes: DataFrame) -> DataFrame:
 def recursive_calls(nodes: DataFrame) -> DataFrame:
     """file_id, identifier, node_id of each call of the function that most closely surrounds it.
 
-    Calls meet functions of their name only; a pair falls if another function lies between.
+    A running sum over where functions open and close tells how many are open at a
+    call; the innermost is the last one that opened at that depth. One shuffle by file.
     """
-    functions = nodes.filter(_is(*FUNCTIONS)).select("file_id", "identifier", F.col("pre").alias("f_pre"), F.col("last").alias("f_last"))
-    calls = nodes.filter(_is(*CALLS) & F.col("identifier").isNotNull()).select("file_id", "identifier", "node_id", "pre")
-    inside = calls.join(functions, ["file_id", "identifier"]).filter("f_pre < pre and pre <= f_last")
-    between = functions.select("file_id", F.col("f_pre").alias("g_pre"), F.col("f_last").alias("g_last"))
-    return inside.join(between, (inside.file_id == between.file_id) & (F.col("f_pre") < F.col("g_pre")) & (F.col("g_pre") < F.col("pre")) & (F.col("pre") <= F.col("g_last")), "left_anti").select("file_id", "identifier", "node_id").distinct()
+    at, opens, closes = F.col("pre") * 2, _is(*FUNCTIONS), F.col("last") * 2 + 1
+    own = nodes.filter(_is(*FUNCTIONS, *CALLS)).select("file_id", "node_id", "identifier", "pre", "last", "kind")
+    enter = F.struct(at.alias("at"), F.lit(1).alias("step"), F.col("identifier").alias("name"), F.lit(None).cast("string").alias("called"))
+    leave = F.struct(closes.alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("called"))
+    call = F.struct(at.alias("at"), F.lit(0).alias("step"), F.lit(None).cast("string").alias("name"), F.col("identifier").alias("called"))
+    events = own.select("file_id", "node_id", F.explode(F.when(opens, F.array(enter, leave)).otherwise(F.array(call))).alias("x")).select("file_id", "node_id", "x.*")
+    upto = Window.partitionBy("file_id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
+    deep = events.withColumn("open", F.sum("step").over(upto)).filter("step >= 0 and open > 0")
+    same_depth = Window.partitionBy("file_id", "open").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # A function without a name still hides those around it.
+    inner = F.last(F.when(F.col("step") == 1, F.struct("name")), ignorenulls=True).over(same_depth)
+    found = deep.withColumn("owner", inner).filter((F.col("step") == 0) & (F.col("owner.name") == F.col("called")))
+    return found.select("file_id", F.col("called").alias("identifier"), "node_id")
 
 
 def recursion_metrics(nodes: DataFrame) -> DataFrame:
