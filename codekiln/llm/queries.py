@@ -105,7 +105,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p10_sentences(spark, folder).select("doc_id", "start_at", "end_at")
+    return sentence_units(table(spark, folder, "documents"), "doc_id", "text", with_text=False).select("doc_id", "start_at", "end_at")
 
 
 def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
