@@ -1,42 +1,30 @@
 """Overlaps between evaluation splits and the training split by an exact prefix-filter join.
 
-Shingles are put in one global order, rare ones first. Two texts of likeness t or
-more share a shingle within the first n - ceil(t n) + 1 of each, so the prefixes
-of evaluation texts are indexed and those of training texts probe them, with the
-filters on length and position in the join. Candidates are verified exactly.
-
-Rarity comes from a table of counters of fixed size over all texts, added up in
-two levels. Shingles that share a counter share its count and are then ordered by
-hash: that is still one total order, so no overlap depends on the table's size.
+Prefixes of rare shingles of evaluation texts are indexed and those of training
+texts probe them, with the filters on length and position in the join (see
+rare_shingles). Candidates are verified exactly.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codekiln.llm.shingles import shingle_sets
+from codekiln.llm.rare_shingles import matching_prefixes, prefixes, shingle_counters
 from codekiln.llm.verify import linked_members, verify_pairs
 from codekiln.operators.skew import salted_join
 from codekiln.session import materialize, spread
 
-_CHUNK = 1 << 16
-
 
 @dataclass(frozen=True)
 class CrossSplitParams:
-    """words and threshold as for near duplicates; 2^counter_bits counters of two bytes are broadcast."""
+    """words and threshold as for near duplicates; 2^counter_bits counters of rarity, as many as the size of the texts calls for if it is None."""
 
     words: int = 5
     threshold: float = 0.8
-    counter_bits: int = 21
+    counter_bits: int | None = None
     expand: int | None = None
 
 
@@ -50,63 +38,6 @@ def split_side(split: Column) -> Column:
     )
 
 
-def shingle_counters(texts: DataFrame, params: CrossSplitParams) -> np.ndarray:
-    """How many texts have a shingle with each counter, at most 65535; 2^counter_bits numbers."""
-    size, words = 1 << params.counter_bits, params.words
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(size, dtype=np.uint32)
-        for batch in batches:
-            held, n = [], 0
-            for own in shingle_sets(batch["text"], words):
-                held.append(own)
-                n += len(own)
-                if n > 1_000_000:
-                    counts += np.bincount(np.concatenate(held) & np.uint64(size - 1), minlength=size).astype(np.uint32)
-                    held, n = [], 0
-            if n:
-                counts += np.bincount(np.concatenate(held) & np.uint64(size - 1), minlength=size).astype(np.uint32)
-        parts = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, _CHUNK)
-        task = TaskContext.get()
-        yield pd.DataFrame({"task": task.partitionId(), "chunk": range(len(parts)), "counts": [p.tobytes() for p in parts]})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_CHUNK, dtype=np.uint32)
-        for x in group["counts"]:
-            total += np.frombuffer(x, dtype=np.uint16)
-        return group.iloc[:1].assign(counts=[np.minimum(total, 65535).astype(np.uint16).tobytes()])
-
-    schema = "task int, chunk int, counts binary"
-    fan = max(2, math.isqrt(max(4, texts.rdd.getNumPartitions())))
-    partial = texts.mapInPandas(count, schema).withColumn("task", (F.col("task") % fan).cast("int"))
-    summed = partial.groupBy("task", "chunk").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
-    counts = np.zeros((size // _CHUNK, _CHUNK), dtype=np.uint16)
-    for row in summed.toLocalIterator():  # 2^counter_bits / 65536 rows
-        counts[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.uint16)
-    return counts.ravel()
-
-
-def prefixes(rows: DataFrame, counters: np.ndarray, params: CrossSplitParams) -> DataFrame:
-    """A row for each shingle of a text's prefix: id, set_1, set_2, n (its shingles), evaluation, tokens (array of shingles by position)."""
-    shared = rows.sparkSession.sparkContext.broadcast(counters)
-    words, threshold, mask = params.words, params.threshold, np.uint64((1 << params.counter_bits) - 1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = shared.value
-        for batch in batches:
-            out = []
-            for one, side, own in zip(batch["id"], batch["evaluation"], shingle_sets(batch["text"], words), strict=True):
-                if (n := len(own)) == 0:
-                    continue
-                first = n - math.ceil(threshold * n - 1e-9) + 1
-                order = np.argsort(counts[own & mask], kind="stable")[:first]
-                name_1, name_2 = np.add.reduce(own * (own >> np.uint64(7) | np.uint64(1))), np.add.reduce((own ^ np.uint64(0x5BD1E995F00D)) * (own >> np.uint64(19) | np.uint64(1)))
-                out.append((one, name_1.astype(np.int64), name_2.astype(np.int64), n, side, own[order].astype(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "set_1", "set_2", "n", "evaluation", "tokens"])
-
-    return rows.mapInPandas(run, "id long, set_1 long, set_2 long, n int, evaluation boolean, tokens array<long>")
-
-
 @dataclass(frozen=True)
 class CrossSplitLinks:
     """members: evaluation, rep (the smallest id of its side with the same shingle set), id.
@@ -126,21 +57,17 @@ def cross_split_links(docs: DataFrame, id_col: str, text_col: str, split_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("id"), split_side(F.col(split_col)).alias("side"), F.col(text_col).alias("text"))
     rows = rows.filter("id is not null and text is not null and side is not null").select("id", F.col("side").isin("validation", "test").alias("evaluation"), "text")
     rows = spread(rows)
-    signed = materialize(prefixes(rows, shingle_counters(rows.select("text"), params), params), "prefixes")
+    counters = shingle_counters(rows.select("text"), params.words, params.counter_bits)
+    signed = prefixes(rows.withColumn("side", F.col("evaluation").cast("int")), counters, params.words, params.threshold)
+    signed = materialize(signed.withColumn("evaluation", F.col("side") == 1).drop("side"), "prefixes")
     classes = signed.groupBy("evaluation", "set_1", "set_2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = materialize(classes, "classes")
     several = classes.filter("copies > 1").select("evaluation", "set_1", "set_2", "rep")
     members = salted_join(signed.select("id", "evaluation", "set_1", "set_2"), several, ["evaluation", "set_1", "set_2"], "id", "left")
     members = materialize(members.select("evaluation", F.coalesce("rep", "id").alias("rep"), "id").distinct(), "members")
-
-    tokens = classes.select("evaluation", "rep", "n", F.posexplode("tokens").alias("pos", "token"))
-    index = tokens.filter("evaluation").select("token", F.col("rep").alias("id_2"), F.col("n").alias("n_2"), F.col("pos").alias("pos_2"))
-    probe = tokens.filter("not evaluation").select("token", F.col("rep").alias("id_1"), F.col("n").alias("n_1"), F.col("pos").alias("pos_1"))
-    t = params.threshold
-    long_enough = F.least("n_1", "n_2") >= t * F.greatest("n_1", "n_2") - 1e-9
-    reachable = 1 + F.least(F.col("n_1") - F.col("pos_1") - 1, F.col("n_2") - F.col("pos_2") - 1) >= F.ceil(t / (1 + t) * (F.col("n_1") + F.col("n_2")) - 1e-9)
-    met = probe.join(index, "token").filter(long_enough & reachable).select("id_1", "id_2").distinct()
-    return CrossSplitLinks(members, verify_pairs(met, rows.select("id", "text"), params.words, t))
+    sides = (classes.filter(side).select(F.col("rep").alias("id"), "n", "tokens") for side in ("not evaluation", "evaluation"))
+    met = matching_prefixes(*sides, params.threshold)
+    return CrossSplitLinks(members, verify_pairs(met, rows.select("id", "text"), params.words, params.threshold))
 
 
 def cross_split_overlaps(docs: DataFrame, id_col: str, text_col: str, split_col: str, params: CrossSplitParams) -> DataFrame:

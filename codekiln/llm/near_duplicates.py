@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codekiln.llm.rare_shingles import prefixes, shingle_counters
 from codekiln.llm.shingles import mix, shingle_sets
 from codekiln.llm.verify import linked_members, verify_pairs
 from codekiln.operators.skew import salted_join
@@ -28,8 +29,9 @@ from codekiln.session import materialize, spread
 class NearDuplicateParams:
     """threshold and words: likeness of distinct runs of `words` words. A pair at the
     threshold has no common band with probability (1 - threshold^rows)^bands, and is
-    pruned with at most `miss` at each of the signature's batches. `block`: rows of a
-    crowded band that are compared at a time. `expand`: see linked_members."""
+    pruned with at most `miss` at each of the signature's batches. `crowd`: classes of a
+    band above which its pairs are told apart by rare shingles, too. `block`: rows that
+    are compared at a time. `expand`: see linked_members."""
 
     words: int = 5
     threshold: float = 0.8
@@ -37,6 +39,7 @@ class NearDuplicateParams:
     rows: int = 3
     batch: int = 16
     miss: float = 1e-6
+    crowd: int = 2000
     block: int = 500
     expand: int | None = None
 
@@ -142,13 +145,32 @@ def _survivors(buckets: DataFrame, params: NearDuplicateParams) -> DataFrame:
     return placed.mapInPandas(run, "id_1 long, id_2 long").distinct()
 
 
-def banded_candidates(classes: DataFrame, params: NearDuplicateParams) -> DataFrame:
-    """Pairs of classes (rep, bands, signature) that share a band and survive the Bayesian comparison.
+def _keys(classes: DataFrame, texts: DataFrame, params: NearDuplicateParams) -> DataFrame:
+    """id, key: classes that share a key are to be compared.
 
-    A band key with more than params.block classes is compared block by block, in
-    as many tasks; pairs are pruned where they are made.
+    Keys are those of bands, but for bands with more than params.crowd classes, such as
+    those of texts with a long common part. The classes of all such bands get their
+    rare shingles as keys instead: two that share none of them can't be alike enough, so
+    nothing is lost, and what many have in common isn't rare.
     """
     keys = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    crowds = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > params.crowd).select("key"), "crowds")
+    if crowds.isEmpty():
+        return keys
+    crowded = salted_join(keys, crowds, ["key"], "id").select("id").distinct()
+    rows = spread(texts.join(crowded, "id").select("id", F.lit(0).alias("side"), "text"))
+    rows = materialize(rows, "crowded")
+    rare = prefixes(rows, shingle_counters(rows.select("text"), params.words), params.words, params.threshold)
+    return keys.join(crowds, "key", "left_anti").unionByName(rare.select("id", F.explode("tokens").alias("key")))
+
+
+def banded_candidates(classes: DataFrame, texts: DataFrame, params: NearDuplicateParams) -> DataFrame:
+    """Pairs of classes (rep, bands, signature) that share a band and survive the Bayesian comparison. texts: id, text of the representatives among others.
+
+    A key with more than params.block classes is compared block by block, in as many
+    tasks; pairs are pruned where they are made.
+    """
+    keys = _keys(classes, texts, params)
     crowds = keys.groupBy("key").agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = salted_join(keys, crowds, ["key"], "id", salts=4).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     sent = shared.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -181,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, params: NearDup
     members = salted_join(signed.select("id", "set_1", "set_2"), several, ["set_1", "set_2"], "id", "left")
     members = materialize(members.select("id", F.coalesce("rep", "id").alias("rep")).distinct(), "members")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    links = verify_pairs(banded_candidates(classes, params), texts, params.words, params.threshold)
+    links = verify_pairs(banded_candidates(classes, texts, params), texts, params.words, params.threshold)
     return NearDuplicates(members, materialize(links, "links"))
 
 

@@ -24,7 +24,7 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, words: int, threshold: floa
     """
     pairs = materialize(pairs.select("id_1", "id_2"), "candidates")
     near = pairs.groupBy("id_2").agg(F.min("id_1").alias("key"))
-    keyed = pairs.join(near, "id_2")
+    keyed = salted_join(pairs, near, ["id_2"], "id_1", salts=8)
     sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
     placed = salted_join(keyed, sizes, ["key"], "id_1").withColumn("block", F.pmod(F.xxhash64("id_1", "id_2"), "blocks")).drop("blocks")
     placed = materialize(placed, "placed")
