@@ -21,30 +21,26 @@ def _sum_log(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """sequences x longest x features, and the lengths."""
-    lengths = np.array([len(s) for s in sequences])
-    out = np.zeros((len(sequences), lengths.max(initial=0), sequences[0].shape[1] if sequences else 0))
-    for k, s in enumerate(sequences):
-        out[k, : len(s)] = s
-    return out, lengths
+def _placed(lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rows of all sequences one behind the other, as sequences x longest x columns with zeros behind the ends."""
+    longest = int(lengths.max(initial=0))
+    out = np.zeros((len(lengths), longest, values.shape[1]))
+    out[np.arange(longest)[None, :] < lengths[:, None]] = values
+    return out
 
 
-def fit(sequences: list[np.ndarray], labels: list[np.ndarray], n_labels: int, steps: int = 300, rate: float = 0.1, penalty: float = 1e-3) -> Field:
+def fit(sequences: list[np.ndarray], labels: list[np.ndarray], n_labels: int, steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
     """Maximum likelihood with a small squared penalty, by Adam on the whole sample."""
-    x, lengths = padded(sequences)
-    n, longest, n_features = x.shape
-    y = np.zeros((n, longest), dtype=int)
-    for k, own in enumerate(labels):
-        y[k, : len(own)] = own
+    lengths = np.array([len(s) for s in sequences])
+    x, n, longest = np.concatenate(sequences).astype(np.float32), len(sequences), int(lengths.max())
     here = np.arange(longest)[None, :] < lengths[:, None]
-    hot = np.eye(n_labels)[y] * here[:, :, None]
+    hot = _placed(lengths, np.eye(n_labels)[np.concatenate(labels)])
     pairs = (hot[:, :-1, :, None] * hot[:, 1:, None, :]).sum(axis=(0, 1))
-    parts = [np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
+    parts = [np.zeros((x.shape[1], n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
     mean, square = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     for step in range(1, steps + 1):
         weights, moves, first = parts
-        scores = x @ weights
+        scores = _placed(lengths, x @ weights.astype(np.float32))
         forward = np.zeros((n, longest, n_labels))
         backward = np.zeros((n, longest, n_labels))
         forward[:, 0] = scores[:, 0] + first
@@ -58,7 +54,7 @@ def fit(sequences: list[np.ndarray], labels: list[np.ndarray], n_labels: int, st
         chance = np.exp(forward + backward - total[:, None, None]) * here[:, :, None]
         moved = np.exp(forward[:, :-1, :, None] + moves + (scores + backward)[:, 1:, None, :] - total[:, None, None, None]) * here[:, 1:, None, None]
         slopes = [
-            np.einsum("ntf,ntl->fl", x, hot - chance) / n - penalty * weights,
+            x.T @ (hot - chance)[here].astype(np.float32) / n - penalty * weights,
             (pairs - moved.sum(axis=(0, 1))) / n - penalty * moves,
             (hot[:, 0] - chance[:, 0]).sum(axis=0) / n - penalty * first,
         ]
@@ -69,17 +65,17 @@ def fit(sequences: list[np.ndarray], labels: list[np.ndarray], n_labels: int, st
     return Field(*parts)
 
 
-def decode(field: Field, sequences: list[np.ndarray]) -> list[np.ndarray]:
-    """The most probable labels of each sequence; those of like length are decoded together."""
-    out: list[np.ndarray] = [np.empty(0, dtype=int)] * len(sequences)
-    order = sorted((k for k in range(len(sequences)) if len(sequences[k])), key=lambda k: len(sequences[k]))
+def decode(field: Field, scored: list[np.ndarray]) -> list[np.ndarray]:
+    """The most probable labels of each sequence of scores (clauses x labels); those of like length are decoded together."""
+    out: list[np.ndarray] = [np.empty(0, dtype=int)] * len(scored)
+    order = sorted((k for k in range(len(scored)) if len(scored[k])), key=lambda k: len(scored[k]))
     for at in range(0, len(order), 256):
         some = order[at : at + 256]
-        x, lengths = padded([sequences[k] for k in some])
-        scores = x @ field.weights
+        lengths = np.array([len(scored[k]) for k in some])
+        scores = _placed(lengths, np.concatenate([scored[k] for k in some]))
         best = scores[:, 0] + field.first
-        came = np.zeros((len(some), x.shape[1], len(field.first)), dtype=int)
-        for t in range(1, x.shape[1]):
+        came = np.zeros((len(some), scores.shape[1], len(field.first)), dtype=int)
+        for t in range(1, scores.shape[1]):
             ways = best[:, :, None] + field.moves
             came[:, t] = ways.argmax(axis=1)
             best = np.where((t < lengths)[:, None], ways.max(axis=1) + scores[:, t], best)

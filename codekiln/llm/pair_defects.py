@@ -13,30 +13,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codekiln.llm.answers import is_blank, is_empty_answer
-from codekiln.llm.clauses import ANSWER, ECHO, FOREIGN, REFUSAL, UNFINISHED, Clause, features_of, label_clauses, squeezed, trained_field
+from codekiln.llm.clauses import ANSWER, ECHO, FOREIGN, REFUSAL, UNFINISHED, Described, described, label_clauses, squeezed, trained_field
 from codekiln.llm.crf import Field
 from codekiln.session import spread
 
 _AT_ONCE = 200
 
 
-def _defect(prompt: str, response: str, clauses: list[Clause], labels: np.ndarray, languages: tuple[str, str]) -> str | None:
-    sizes = np.array([len(c.text) for c in clauses], dtype=float)
+def _defect(prompt: str, response: str, made: Described, labels: np.ndarray) -> str | None:
+    sizes = np.array([len(c.text) for c in made.clauses], dtype=float)
     cover = np.bincount(labels, sizes, 5) / max(sizes.sum(), 1)
-    code = any(c.kind == "code" for c in clauses)
+    code = any(c.kind == "code" for c in made.clauses)
     if cover[REFUSAL] >= 0.3 and not code:
         return "refusal"
     if cover[FOREIGN] >= 0.5:
         return "other_language"
-    if cover[ECHO] + cover[UNFINISHED] > cover[ANSWER] and squeezed(prompt, languages[0]) == squeezed(response, languages[0]):
+    if cover[ECHO] + cover[UNFINISHED] > cover[ANSWER] and squeezed(prompt, made.spoken) == squeezed(response, made.spoken):
         return "copy"
     return "truncated" if cover[UNFINISHED] > 0 else None
 
 
-def _defects(prompts: list[str], responses: list[str], field: Field) -> list[str | None]:
-    made = [features_of(p, r) for p, r in zip(prompts, responses, strict=True)]
-    labels = label_clauses(field, [m[1] for m in made])
-    return [_defect(p, r, m[0], own, m[2:]) if len(own) else None for p, r, m, own in zip(prompts, responses, made, labels, strict=True)]
+def defects_of(prompts: list[str], responses: list[str], field: Field) -> list[str | None]:
+    """The defect of each pair of texts, or None."""
+    made = [described(p, r) for p, r in zip(prompts, responses, strict=True)]
+    labels = label_clauses(field, made)
+    return [_defect(p, r, m, own) if len(own) else None for p, r, m, own in zip(prompts, responses, made, labels, strict=True)]
 
 
 def pair_defects(pairs: DataFrame, id_col: str, prompt_col: str, response_col: str) -> DataFrame:
@@ -53,7 +54,7 @@ def pair_defects(pairs: DataFrame, id_col: str, prompt_col: str, response_col: s
         asked = [k for k, r in enumerate(responses) if r is not None]
         for at in range(0, len(asked), _AT_ONCE):
             some = asked[at : at + _AT_ONCE]
-            for k, found in zip(some, _defects([prompts[k] for k in some], [responses[k] for k in some], field), strict=True):
+            for k, found in zip(some, defects_of([prompts[k] for k in some], [responses[k] for k in some], field), strict=True):
                 out[k] = found
         return pd.Series(out, dtype=object)
 
