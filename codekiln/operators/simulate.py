@@ -263,6 +263,33 @@ class _Tracer:
         yield self.step(event, s.line, s.text, variable=name, value=value, **({"heap": "allocate", "bytes": taken[1]} if taken else {}))
 
 
+class _Counting(_Tracer):
+    """Gives each step of a loop's body once, with how many times it arises: the rounds of a loop are alike in all that a summary counts."""
+
+    def loop(self, s: Statement, kind: str, rounds: int, way: bool | None, variable: str | None, start: int, step: int) -> Iterator[dict]:
+        yield self.step("evaluate", s.line, loop_kind=kind, warning="indeterminate_condition" if way is None else None)
+        if rounds:
+            yield self.step("loop-iteration", s.line, kind, loop_kind=kind, times=rounds)
+            for own in self.inside(s.body or []):
+                own["times"] = own.get("times", 1) * rounds
+                yield own
+        yield self.step("loop-exit", s.line, kind, loop_kind=kind, warning="loop_cap" if rounds >= self.cap else None)
+
+
+def summary_of(code: str, loop_cap: int = 20) -> tuple[int, int, int, int, int]:
+    """(steps, lines, warnings, cap_hits, unsupported) of a program's trace, in time in proportion to the program and not to its steps."""
+    steps, cap_hits, unsupported, lines, warnings = 1, 0, 0, {code.count("\n") + 1}, set()
+    for own in _Counting(loop_cap).run(parse_statements(code)):
+        times, warning = own.get("times", 1), own.get("warning")
+        steps += times
+        lines.add(own["line"])
+        if warning:
+            warnings.add((warning, own["line"]))
+            cap_hits += times * (warning == "loop_cap")
+        unsupported += times * (own["event_type"] == "unsupported")
+    return steps, len(lines), len(warnings), cap_hits, unsupported
+
+
 def trace_steps(code: str, loop_cap: int = 20, most_steps: int | None = None) -> Iterator[dict]:
     """The steps of one program as they arise; the last is `end`, or `step-limit` where most_steps is given and more would follow."""
     line = code.count("\n") + 1
@@ -347,6 +374,22 @@ def trace_summary(trace: DataFrame) -> DataFrame:
     return grouped.withColumn("status", F.when((F.col("unsupported") > 0) | (F.col("left_off") > 0), "partial").otherwise("ok")).drop("left_off")
 
 
+def trace_summaries(files: DataFrame, key: str, code: str, loop_cap: int = 20) -> DataFrame:
+    """trace_summary of whole traces, without making their steps. Counts stay at 2^63 - 1 where there would be more."""
+    if not 1 <= loop_cap <= 200:
+        raise ValueError("the loop cap is 1 to 200")
+    names = ["steps", "lines", "warnings", "cap_hits", "unsupported"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [summary_of(text or "", loop_cap) for text in batch["code"]]
+            counts = {name: pd.Series([min(x[k], (1 << 63) - 1) for x in found], dtype="int64") for k, name in enumerate(names)}
+            yield pd.DataFrame({"file_id": batch["file_id"], **counts, "status": pd.Series(["partial" if x[4] else "ok" for x in found], dtype=object)})
+
+    rows = spread(files.select(F.col(key).cast("string").alias("file_id"), F.col(code).alias("code")))
+    return rows.mapInPandas(run, "file_id string, " + ", ".join(f"{name} long" for name in names) + ", status string")
+
+
 def frames(trace: DataFrame) -> DataFrame:
     """trace steps with function: the one that was entered last and is not left yet.
 

@@ -70,7 +70,7 @@ def completions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trace_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return simulate.trace_summary(simulate.simulate(table(spark, folder, "files"), "file_id", "code"))
+    return simulate.trace_summaries(table(spark, folder, "files"), "file_id", "code")
 
 
 def _heap_events(spark: SparkSession, folder: str) -> DataFrame:
