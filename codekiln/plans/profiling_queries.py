@@ -75,6 +75,16 @@ def latest_staged(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count("*").alias("writes"))
 
 
+def staged_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as a stream of edits, staged: the last of each user's, by number."""
+    base = os.path.join(scratch_dir(spark), f"staged-{uuid.uuid4().hex}")
+    edits = F.concat(F.lit("user "), "user_id").alias("path"), F.col("event_id").alias("seq"), F.concat_ws(" ", "event_type", "props").alias("content")
+    table(spark, folder, "events").select(*edits).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(pipelines.EDIT_SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    pipelines.stage_edits(stream, f"{base}/out", f"{base}/marks", once=True, compact_every=2).awaitTermination()
+    return pipelines.staged(spark, f"{base}/out")
+
+
 def tumbling_summary(spark: SparkSession, folder: str) -> DataFrame:
     return p.tumbling_summary(_runs(spark, folder), ["run_target"], "ts", "duration_ms", "7 days").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
@@ -95,7 +105,7 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").groupBy("run_target").agg(F.count("*").alias("windows"), F.sum("run_count").alias("runs"))
 
 
-QUERIES = [bench_summary, bench_summary_missing, bench_stop_on_failure, bench_compare, bench_trend, bench_chart, history_tail, history_tail_per_key, baseline_latest, latest_staged, tumbling_summary, corpus_rollup, stream_windows]
+QUERIES = [bench_summary, bench_summary_missing, bench_stop_on_failure, bench_compare, bench_trend, bench_chart, history_tail, history_tail_per_key, baseline_latest, latest_staged, staged_edits, tumbling_summary, corpus_rollup, stream_windows]
 
 _RUNS = "runs_clean as (select distinct * from runs where duration_ms is not null and not isnan(duration_ms) and duration_ms >= 0 and run_target is not null)"
 
@@ -131,6 +141,9 @@ SQL = {
     "baseline_latest": """with d as (select distinct * from runs), l as (select run_target, case when duration_ms >= 0 then duration_ms end as duration_ms, row_number() over (partition by run_target order by ts desc, run_id desc, ingested_at desc) as k from d)
         select run_target, duration_ms from l where k = 1 and duration_ms is not null""",
     "latest_staged": "select user_id, arg_max(value, (ts, event_id)) as value, count(*) as writes from events group by user_id",
+    "staged_edits": "select 'user ' || user_id as path, max(event_id) as seq, arg_max(concat_ws(' ', event_type, props), event_id) as content from events where user_id is not null group by user_id",
     "tumbling_summary": f"""with {_RUNS} select run_target, strftime(time_bucket(interval '7 days', cast(ts as timestamp), timestamp '1970-01-01'), '%Y-%m-%d') as window_start, count(*) as run_count, ((2 * sum(cast(floor(duration_ms * 1000 + 0.5) as bigint)) + count(*)) // (2 * count(*))) / 1000 as mean_ms, max(duration_ms) as max_ms from runs_clean group by 1, 2""",
+    "stream_windows": """with w as (select run_target, time_bucket(interval '1 day', cast(ts as timestamp), timestamp '1970-01-01') as w, count(*) as n from runs where duration_ms >= 0 group by 1, 2),
+        l as (select max(cast(ts as timestamp)) - interval '10 minutes' as mark from runs where duration_ms >= 0) select run_target, count(*) as windows, cast(sum(n) as bigint) as runs from w, l where w + interval '1 day' <= mark group by 1""",
     "corpus_rollup": "select category, subcategory, count(*) as pairs, cast(sum(length(unoptimized)) as bigint) as characters from (select coalesce(category, 'none') as category, coalesce(subcategory, 'none') as subcategory, unoptimized from code_pairs) group by rollup (category, subcategory)",
 }

@@ -26,37 +26,57 @@ def unmapped_messages(messages: DataFrame, patterns: list[str]) -> DataFrame:
     return messages.filter(~F.coalesce(F.lower("message").rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))) if patterns else messages
 
 
-def stage_edits(edits: DataFrame, target: str, checkpoint: str, every: str = "30 seconds", once: bool = False) -> StreamingQuery:
-    """Keeps the last content of each path in a table at target, written anew as one generation for each batch.
+def stage_edits(edits: DataFrame, target: str, checkpoint: str, every: str = "30 seconds", once: bool = False, compact_every: int = 50) -> StreamingQuery:
+    """Keeps the last content of each path in a table at target: a batch adds what it changed, and every compact_every batches all is written anew.
 
-    A batch that is run again writes the same generation, so nothing is lost or
-    doubled; the latest generation is read by staged().
+    A batch that is run again writes the same folder, so nothing is lost or doubled.
+    staged() reads the last whole table and the changes behind it; what both have
+    made needless goes one compaction later, so that readers at work keep their files.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy("path").agg(F.max("seq").alias("seq"), F.max_by("content", "seq").alias("content"))
-        before = staged(spark, target, below=number)
-        merged = last if before is None else last.unionByName(before).groupBy("path").agg(F.max("seq").alias("seq"), F.max_by("content", "seq").alias("content"))
-        merged.write.mode("overwrite").parquet(_generation(target, number))
+        _last(batch).write.mode("overwrite").parquet(_part(target, "changes", number))
+        if (number + 1) % compact_every == 0:
+            staged(spark, target, upto=number).write.mode("overwrite").parquet(_part(target, "whole", number))
+            _forget(spark, target, number - compact_every)
 
     stream = edits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime=every)).start()
 
 
-def _generation(target: str, number: int) -> str:
-    return os.path.join(target, f"generation={number:012d}")
+def _last(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("path").agg(F.max("seq").alias("seq"), F.max_by("content", "seq").alias("content"))
 
 
-def staged(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """path, seq, content of the latest generation, or None before the first."""
+def _part(target: str, kind: str, number: int) -> str:
+    return os.path.join(target, kind, f"batch={number:012d}")
+
+
+def _written(spark: SparkSession, target: str, kind: str) -> list[tuple[int, str]]:
+    """(batch, path) of the folders of a kind that were written to their end, in order."""
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(target)
+    root = jvm.org.apache.hadoop.fs.Path(target, kind)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
-    done = sorted(p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-    done = [p for p in done if below is None or int(p.rsplit("=", 1)[1]) < below]
-    return spark.read.schema("path string, seq long, content string").parquet(done[-1]) if done else None
+    done = [p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted((int(p.rsplit("=", 1)[1]), p) for p in done)
+
+
+def _forget(spark: SparkSession, target: str, number: int) -> None:
+    """Deletes changes up to the batch and whole tables before it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for batch, path in [x for x in _written(spark, target, "changes") if x[0] <= number] + [x for x in _written(spark, target, "whole") if x[0] < number]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def staged(spark: SparkSession, target: str, upto: int | None = None) -> DataFrame | None:
+    """path, seq, content: the last of each path up to a batch, or to the latest; None before the first."""
+    whole = [x for x in _written(spark, target, "whole") if upto is None or x[0] < upto][-1:]
+    since = whole[0][0] if whole else -1
+    paths = [p for _, p in whole] + [p for n, p in _written(spark, target, "changes") if n > since and (upto is None or n <= upto)]
+    return _last(spark.read.schema(EDIT_SCHEMA).parquet(*paths)) if paths else None
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
