@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from codekiln.operators import ast_nodes as a
 from codekiln.plans.catalog import table
 from codekiln.session import materialize
+from codekiln.sources.trees import flatten_trees
 
 TREE = """
     select file_id, node_id, parent_id, cast(ordinal as int) as ordinal, depth, pre, case when depth = 0 then count(*) over (partition by file_id) - 1 when depth = 1 then pre + n - 1 else pre end as last,
@@ -117,7 +118,49 @@ def code_smell_counts(spark: SparkSession, folder: str) -> DataFrame:
     return a.code_smells(nodes, a.file_features(nodes)).groupBy("smell_type", "severity").agg(F.count("*").alias("smells"), F.round(F.max("confidence"), 9).alias("most_sure"))
 
 
-QUERIES = [ast_node_metrics, ast_nesting_depth, ast_recursion, ast_features, ast_dead_code, ast_unused_decl, ast_unsafe_calls, copy_hotspots, ast_alloc_imbalance, ast_long_function, ast_large_class, ast_magic_numbers, ast_duplicate_blocks, semantic_issue_counts, code_smell_counts]
+def _raw(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(spark.sql(TREE, **{t: table(spark, folder, t) for t in ("customer", "orders", "lineitem")}), "raw-tree")
+
+
+def json_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """file_id, document: the trees as their producer writes them, nodes with their children as JSON."""
+    nodes = _raw(spark, folder)
+    place = F.struct(F.concat("file_id", F.lit(".cpp")).alias("file"), "line", F.lit(1).alias("column"))
+    node = ["kind", "spelling", "type", place.alias("location")]
+    below = lambda rows: F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*rows).alias("node")))), lambda x: x["node"])
+    leaves = nodes.filter("depth = 2").groupBy(F.col("parent_id").alias("node_id")).agg(below(node).alias("children"))
+    middle = nodes.filter("depth = 1").join(leaves, "node_id", "left").groupBy(F.col("parent_id").alias("node_id")).agg(below([*node, "children"]).alias("children"))
+    roots = nodes.filter("depth = 0").join(middle, "node_id", "left")
+    return roots.select("file_id", F.to_json(F.struct(F.struct(*node, "children").alias("translationUnit"))).alias("document"))
+
+
+def dump_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """file_id, document: the trees as a compiler's text dump, a line for each node, two columns for each level."""
+    kind = F.replace(F.initcap(F.replace(F.lower(F.regexp_replace("kind", r"^CursorKind\.", "")), F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
+    bars = F.when(F.col("depth") > 0, F.concat(F.repeat(F.lit("| "), F.col("depth") - 1), F.lit("|-"))).otherwise("")
+    line = F.concat(bars, kind, F.format_string(" 0x%x <line:%d:1> ", F.col("pre") + 4096, F.col("line")), F.coalesce("spelling", F.lit("")))
+    lines = _raw(spark, folder).select("file_id", "pre", line.alias("text"))
+    return lines.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "\n").alias("document"))
+
+
+def ast_json_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics and depths of trees that are read from JSON documents."""
+    nodes = a.prepared(flatten_trees(json_trees(spark, folder), "file_id", "document"))
+    nodes = materialize(nodes, "json-tree")
+    places = nodes.groupBy("file_id").agg(F.count("*").alias("nodes"), F.sum("line").alias("lines"), F.sum("depth").alias("depths"), F.sum(F.col("last") - F.col("pre")).alias("below"))
+    found = a.node_metrics(nodes).join(a.nesting_depth(nodes), "file_id").join(places, "file_id")
+    return found.withColumn("file_id", F.col("file_id").cast("long"))
+
+
+def ast_dump_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Loops, depths and places of trees that are read from text dumps."""
+    nodes = materialize(a.prepared(flatten_trees(dump_trees(spark, folder), "file_id", "document", dump=True)), "dump-tree")
+    places = nodes.groupBy("file_id").agg(F.count("*").alias("nodes"), F.sum("line").alias("lines"), F.sum("depth").alias("depths"), F.sum(F.col("last") - F.col("pre")).alias("below"))
+    found = a.node_metrics(nodes).select("file_id", "loops_for", "loops_while", "loops_do_while", "loops_range_for", "loops_total").join(a.nesting_depth(nodes), "file_id").join(places, "file_id")
+    return found.withColumn("file_id", F.col("file_id").cast("long"))
+
+
+QUERIES = [ast_json_features, ast_dump_features, ast_node_metrics, ast_nesting_depth, ast_recursion, ast_features, ast_dead_code, ast_unused_decl, ast_unsafe_calls, copy_hotspots, ast_alloc_imbalance, ast_long_function, ast_large_class, ast_magic_numbers, ast_duplicate_blocks, semantic_issue_counts, code_smell_counts]
 
 _TREE = TREE.format(customer="customer", orders="orders", lineitem="lineitem")
 
@@ -148,7 +191,20 @@ _UNSAFE = "us as (select file_id, node_id, identifier, line from t where kind =
 _COPIES = "cp as (select file_id, node_id, identifier, type, line from t where kind = 'PARM_DECL' and contains(lower(type), 'std::') and not contains(type, '&') and not contains(type, '*'))"
 _STATEMENT = f"((ends_with(x.kind, '_STMT') and x.kind not in ('COMPOUND_STMT', 'NULL_STMT')) or x.kind in {_in(a.COUNTED)})"
 
+_PLACES = "pl as (select file_id, count(*) as nodes, cast(sum(line) as bigint) as lines, cast(sum(depth) as bigint) as depths, cast(sum(last - pre) as bigint) as below from t group by file_id)"
+
 SQL = {
+    "ast_json_features": f"with {_NODES}, {_METRICS}, {_DEPTH}, {_PLACES} select * from mt join d using (file_id) join pl using (file_id)",
+    "ast_dump_features": f"with {_NODES}, {_METRICS}, {_DEPTH}, {_PLACES} select file_id, loops_for, loops_while, loops_do_while, loops_range_for, loops_total, nesting_max_depth, nodes, lines, depths, below from mt join d using (file_id) join pl using (file_id)",
+    "code_smell_counts": f"""with {_NODES}, {_DEPTH}, lf as (select f.file_id, (select count(*) from t x where x.file_id = f.file_id and x.pre > f.pre and x.pre <= f.last and {_STATEMENT}) as n from t f where f.kind in {_in(a.FUNCTIONS)}),
+        lc as (select c.file_id, count(*) as n from t c join t x on x.file_id = c.file_id and x.parent_id = c.node_id and x.kind in {_in(a.MEMBERS)} where c.kind in ('CLASS_DECL', 'STRUCT_DECL') group by c.file_id, c.node_id),
+        mn as (select file_id, count(*) as n from t where kind = 'INTEGER_LITERAL' and try_cast(spelling as double) not in (0, 1, -1) group by file_id),
+        bs as (select b.file_id, b.pre, string_agg(x.kind, '>' order by x.ordinal, x.pre) as signature from t b join t x on x.file_id = b.file_id and x.parent_id = b.node_id where b.kind = 'COMPOUND_STMT' group by 1, 2 having count(*) >= 3),
+        db as (select file_id, arg_min(n, first) as n from (select file_id, signature, count(*) as n, min(pre) as first from bs group by 1, 2 having count(*) > 1) group by file_id),
+        s as (select 'long_function' as smell_type, 'MEDIUM' as severity, 0.6::double + (n - 20)::double / 40 as c from lf where n > 20 union all select 'deep_nesting', 'HIGH', 0.65::double + (nesting_max_depth - 4) * 0.07::double from d where nesting_max_depth > 4
+            union all select 'large_class', 'MEDIUM', 0.62::double + (n - 12) * 0.04::double from lc where n > 12 union all select 'magic_numbers', 'LOW', 0.58::double + (n - 4) * 0.06::double from mn where n > 4
+            union all select 'duplicate_blocks', 'MEDIUM', 0.64::double + (n - 1) * 0.08::double from db)
+        select smell_type, severity, count(*) as smells, round(max(least(0.99::double, c)), 9) as most_sure from s group by 1, 2""",
     "ast_node_metrics": f"with {_NODES}, {_METRICS} select * from mt",
     "ast_nesting_depth": f"with {_NODES}, {_DEPTH} select * from d",
     "ast_recursion": f"with {_NODES}, {_RECURSION} select * from r",
