@@ -32,6 +32,7 @@ PATTERNS = {
 }
 NOT_FUNCTIONS = ["if", "while", "for", "switch", "catch", "else"]
 FUNCTION_HEAD = rf"{_B}([a-zA-Z_]\w*)\s*\([^)]*\)\s*\{{"
+LINE_WITH_HEAD = rf"{_B}\w+\s*\([^)]*\)\s*\{{"
 FEATURE_COLUMNS = (
     "loops_total loops_for loops_while loops_do_while loops_range_for nesting_max_depth recursion_count function_count pointers_declarations pointers_dereferences pointers_address_of pointers_total "
     "stl_container_refs stl_algorithm_calls stl_iterator_usage stl_total alloc_heap_new alloc_heap_delete alloc_malloc_family alloc_free_calls alloc_stack_arrays alloc_total "
@@ -62,22 +63,19 @@ def recurring_names(code: Column, names: Column) -> Column:
 
 
 def long_functions(code: Column, most: int = 40) -> Column:
-    """Functions of more than `most` lines from the one with their head to the one with their last brace."""
-    lines = F.transform(F.split(code, "\n"), lambda s, k: F.struct(s.alias("s"), k.alias("k")))
-    zero = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("depth"), F.lit(0).alias("long"))
-    braces = lambda s: (F.length(F.regexp_replace(s, r"[^{]", "")) - F.length(F.regexp_replace(s, r"[^}]", ""))).cast("int")
-
-    def step(a: Column, x: Column) -> Column:
-        head = x["s"].rlike(rf"{_B}\w+\s*\([^)]*\)\s*\{{")
-        depth = a["depth"] + braces(x["s"])
-        ended = ~head & (a["start"] >= 0) & (depth <= 0)
-        return F.struct(
-            F.when(head, x["k"]).when(ended, -1).otherwise(a["start"]).alias("start"),
-            F.when(head, braces(x["s"])).when(ended, 0).when(a["start"] >= 0, depth).otherwise(a["depth"]).alias("depth"),
-            (a["long"] + (ended & (x["k"] - a["start"] > most)).cast("int")).alias("long"),
-        )
-
-    return F.aggregate(lines, zero, step, lambda a: a["long"])
+    """Functions whose last brace closes more than `most` lines below their head. A new head takes the place of one that is still open."""
+    opened = lambda s: F.length(F.regexp_replace(s, "[^{]", "")) - F.length(F.regexp_replace(s, "[^}]", ""))
+    lines = F.transform(F.split(code, "\n"), lambda s: F.struct(s.rlike(LINE_WITH_HEAD).alias("head"), opened(s).cast("int").alias("change")))
+    # below: lines since the head, -1 outside of functions.
+    zero = F.struct(F.lit(-1).alias("below"), F.lit(0).alias("open"), F.lit(0).alias("found"))
+
+    def behind(a: Column, line: Column) -> Column:
+        inside = F.when(line["head"], 0).when(a["below"] >= 0, a["below"] + 1).otherwise(-1)
+        still = F.when(line["head"], line["change"]).otherwise(a["open"] + line["change"])
+        closed = (inside > 0) & (still <= 0)
+        return F.struct(F.when(closed, -1).otherwise(inside).alias("below"), still.alias("open"), (a["found"] + (closed & (inside > most)).cast("int")).alias("found"))
+
+    return F.aggregate(lines, zero, behind, lambda a: a["found"])
 
 
 def text_features(files: DataFrame, key: str, code: str) -> DataFrame:

@@ -46,7 +46,7 @@ def func_names_recursion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def long_function_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "files").filter("code is not null").select("file_id", tf.long_functions(F.col("code"), 12).alias("long_functions"))
+    return table(spark, folder, "files").filter("code is not null").select("file_id", tf.long_functions(F.col("code")).alias("long_functions"))
 
 
 def risk_label(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,13 +195,17 @@ _MATCH = f"""{_rules()}, longf as (unpivot (select file_id, {', '.join(METRICS)}
     pm as (select *, least(most, greatest(0, base + matched_weight + boost)) as preliminary from pr)"""
 
 
+def _filled(text: str) -> str:
+    fill = {"file": "file_id", "nesting": "nesting", "loops": "loops", "memory": "memory", "top": "'loops'"}
+    return "concat('', " + ", ".join(fill.get(x, "''") if j % 2 else _text(x) for j, x in enumerate(text.replace("}}", "{{").split("{{"))) + ")"
+
+
 def _templates() -> str:
     rows = []
     for k, t in enumerate(_json("templates")["templates"]):
         conditions = [f"cast({p.removesuffix('.min')} as double) >= {v}" if p.endswith(".min") else f"{p} = '{v}'" for p, v in t["when"].items()]
-        fill = {"file": "file_id", "nesting": "nesting", "loops": "loops", "memory": "memory"}
-        summary = "concat(" + ", ".join(fill.get(x, "''") if j % 2 else _text(x) for j, x in enumerate(t["summary"].replace("}}", "{{").split("{{"))) + ")"
-        rows.append(f"select file_id, '{t['id']}' as template_id, {t['priority']} as priority, {k} as ordinal, '{t['title']}' as title, {summary} as summary from ctx where {' and '.join(conditions) or 'true'}")
+        actions = "[" + ", ".join(map(_filled, t["actions"])) + "]::varchar[]"
+        rows.append(f"select file_id, '{t['id']}' as template_id, {t['priority']} as priority, {k} as ordinal, '{t['title']}' as title, {_filled(t['summary'])} as summary, {actions} as actions from ctx where {' and '.join(conditions) or 'true'}")
     return " union all ".join(rows)
 
 
@@ -213,7 +217,13 @@ def _terms() -> str:
     return f"terms(name, term, weight) as (values {', '.join(rows)})"
 
 
+_LINE_WITH_HEAD = tf.LINE_WITH_HEAD.replace("(?<![A-Za-z0-9_])", "\\b")
 SQL = {
+    "long_function_lines": f"""with l as (select file_id, unnest(string_split(code, '\n')) as s, unnest(range(len(string_split(code, '\n')))) as k from files where code is not null),
+        h as (select file_id, k, cast(regexp_matches(s, '{_LINE_WITH_HEAD}') as int) as head, length(s) - length(replace(s, '{{', '')) - (length(s) - length(replace(s, '}}', ''))) as change from l),
+        g as (select *, sum(head) over (partition by file_id order by k) as no from h), c as (select *, sum(change) over (partition by file_id, no order by k) as open, min(k) over (partition by file_id, no) as start from g where no > 0),
+        e as (select file_id, no, min(k - start) as below from c where k > start and open <= 0 group by 1, 2)
+        select f.file_id, cast(count(e.no) as int) as long_functions from (select file_id from files where code is not null) f left join e on e.file_id = f.file_id and below > 40 group by 1""",
     "feature_text": f"with {_FEATURES} select * from f",
     "brace_depth": f"with src as (select row_number() over () as k, code from (select unoptimized as code from code_pairs union all select optimized from code_pairs) where code is not null), {_depths('src', 'k')} select cast(coalesce(d.depth, 0) as int) as depth, count(*) as texts from src left join depths d using (k) group by 1",
     "func_names_recursion": f"select file_id, array_to_string(list_sort(names), ',') as names, cast({_RECURRING} as int) as recurring from (select file_id, code, {_NAMES} as names from files where code is not null)",
@@ -231,6 +241,9 @@ SQL = {
         cast(row_number() over (partition by file_id order by confidence + priority / 100 desc, ordinal) as int) as rank from ca""",
     "metrics_long": f"with {_FEATURES} unpivot (select file_id, {', '.join(METRICS)} from f) on {', '.join(METRICS)} into name metric_path value value",
     "template_render": f"with {_FEATURES}, {_RISK}, {_ISSUES}, {_CONTEXT}, r as ({_templates()}) select file_id, template_id, cast(row_number() over (partition by file_id order by priority desc, ordinal) as int) as rank, title, summary from r",
+    "action_dedupe": f"""with {_FEATURES}, {_RISK}, {_ISSUES}, {_CONTEXT}, drafts as ({_templates()}), ranked as (select *, row_number() over (partition by file_id order by priority desc, ordinal) as rank from drafts),
+        listed as (select file_id, rank, unnest(actions) as action, unnest(range(len(actions))) as no from ranked), once as (select *, row_number() over (partition by file_id, lower(trim(action)) order by rank, no) as k from listed where trim(action) <> ''),
+        numbered as (select file_id as key, cast(row_number() over (partition by file_id order by rank, no) as int) as action_no, action from once where k = 1) select * from numbered where action_no <= 6""",
     "keyword_recommend": f"""with {_terms()}, w as (select doc_id, lower(text) as text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) as words from documents where text is not null)
         select doc_id, name, cast(sum(weight) as bigint) as score from w join terms on case when contains(term, ' ') then contains(text, term) else list_contains(words, term) end group by doc_id, name""",
     "html_texts": "select doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) as digest from documents",
