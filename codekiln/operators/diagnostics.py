@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codekiln.functions.score import band, fuzzy_match_score, quick_fix_relevance, regex_match_score
 from codekiln.functions.text import action_of, as_sentence, category_of, category_words, edit_similarity, first_sentence, impact_of, normalized, sentence_case, severity_of, token_overlap, unique_tokens
+from codekiln.operators.skew import salted_join
 
 # Fixed value: a message of the compilers; notes and fatal errors don't match.
 MESSAGE_LINE = r"(?i)^(.+?):(\d+):(\d+):\s*(warning|error):\s*(.+)$"
@@ -43,7 +44,7 @@ def match_messages(messages: DataFrame, entries: DataFrame) -> DataFrame:
     hit = F.rlike(message, F.concat(F.lit("(?i)"), pattern))
     scored = known.join(entries, ["compiler", "type"]).withColumn("matcher", F.when(hit, "regex").otherwise("fuzzy")).withColumn("score", F.when(F.col("matcher") == "regex", regex_match_score(pattern, message)).otherwise(fuzzy_match_score(pattern, message)))
     best = scored.filter("score is not null").groupBy("compiler", "type", "message").agg(F.max_by(F.struct(F.col("id").alias("entry_id"), "matcher", "score"), F.struct("score", -F.col("ordinal"))).alias("best"))
-    joined = messages.join(best, ["compiler", "type", "message"], "left")
+    joined = salted_join(messages, best, ["compiler", "type", "message"], None, "left")
     return joined.select(*messages.columns, F.coalesce("best.entry_id", F.lit("generic.error")).alias("entry_id"), F.coalesce("best.matcher", F.lit("fallback")).alias("matcher"), F.coalesce("best.score", F.lit(0.25)).alias("score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codekiln.functions.score import rounded
+from codekiln.operators.skew import salted_join
 
 
 def clean_runs(runs: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -52,10 +53,15 @@ def with_missing(summary: DataFrame, targets: DataFrame, keys: list[str]) -> Dat
 
 
 def until_failure(runs: DataFrame, keys: list[str], order: list[str], code: str) -> DataFrame:
-    """The runs of each key up to its first non-zero exit, that one included; a null code is no failure."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    failed = F.coalesce((F.col(code) != 0).cast("int"), F.lit(0))
-    return runs.withColumn("failed_before", F.coalesce(F.sum(failed).over(before), F.lit(0))).filter("failed_before = 0").drop("failed_before")
+    """The runs of each key up to its first non-zero exit, that one included; a null code is no failure, and null keys are a key.
+
+    The first failure of a key is found where its runs are read, so the runs of one
+    key are never brought together.
+    """
+    rows = runs.withColumns({"__key": F.to_json(F.struct(*keys)), "__at": F.struct(*order)})
+    first = rows.filter(F.col(code) != 0).groupBy("__key").agg(F.min("__at").alias("__first"))
+    kept = salted_join(rows, first, ["__key"], order[-1], "left").filter(F.col("__first").isNull() | (F.col("__at") <= F.col("__first")))
+    return kept.select(*runs.columns)
 
 
 def change(baseline: Column, current: Column) -> dict[str, Column]:

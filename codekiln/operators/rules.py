@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codekiln.functions.score import band, calibrated, clamp, compared, stl_boost, stl_signal
-from codekiln.sources.dimensions import MOST_ROWS
+from codekiln.sources.dimensions import literal_pages
 
 DEFAULT_WEIGHT = 0.15
 
@@ -40,16 +40,6 @@ def rule_inputs(features: DataFrame, issues: DataFrame, smells: DataFrame, metri
     return rows.select("file_id", "metrics", F.coalesce("checks", none).alias("checks"), F.coalesce("smells", none).alias("smells"), F.coalesce("pressure", F.lit(0.0)).alias("pressure"), F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
-def _literal(rules: DataFrame) -> Column:
-    """All rules as one array; they are a dimension of a checked size."""
-    rows = rules.orderBy("ordinal").limit(MOST_ROWS + 1).collect()
-    if len(rows) > MOST_ROWS:
-        raise ValueError(f"there may be {MOST_ROWS} rules")
-    if not rows:
-        return F.from_json(F.lit("[]"), f"array<{rules.schema.simpleString()}>")
-    return F.from_json(F.lit(json.dumps([r.asDict(recursive=True) for r in rows])), f"array<{rules.schema.simpleString()}>")
-
-
 def match_rules(inputs: DataFrame, rules: DataFrame) -> DataFrame:
     """file_id, rule (its struct), matched_weight, possible_weight, hints, boost, preliminary of every rule that fits a file.
 
@@ -57,7 +47,8 @@ def match_rules(inputs: DataFrame, rules: DataFrame) -> DataFrame:
     weight. A metric that is missing fails; a check or smell without findings counts
     as 0. Nothing is shuffled: rules are evaluated within each file's row.
     """
-    rows = inputs.withColumn("rule", F.explode(_literal(rules)))
+    none = F.from_json(F.lit("[]"), f"array<{rules.schema.simpleString()}>")
+    rows = reduce(DataFrame.unionByName, [inputs.withColumn("rule", F.explode(page)) for page in literal_pages(rules) or [none]])
 
     def passed(c: Column) -> Column:
         zero = F.lit(0.0)

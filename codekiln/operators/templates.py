@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codekiln.functions.text import rendered
-from codekiln.sources.dimensions import MOST_ROWS
+from codekiln.sources.dimensions import literal_pages
 
 
 def _fits(when: Column, context: Column) -> Column:
@@ -24,11 +24,8 @@ def _fits(when: Column, context: Column) -> Column:
 
 def select_templates(contexts: DataFrame, templates: DataFrame) -> DataFrame:
     """key, template_id, domain, rank, title, summary, actions of the templates that fit each context (key, context map<string,string>), by priority, then in their order."""
-    rows = templates.orderBy("ordinal").limit(MOST_ROWS + 1).collect()
-    if len(rows) > MOST_ROWS:
-        raise ValueError(f"there may be {MOST_ROWS} templates")
-    literal = F.from_json(F.lit(json.dumps([r.asDict(recursive=True) for r in rows])), f"array<{templates.schema.simpleString()}>")
-    chosen = contexts.withColumn("t", F.explode(F.filter(literal, lambda t: _fits(t["when"], F.col("context")))))
+    none = F.from_json(F.lit("[]"), f"array<{templates.schema.simpleString()}>")
+    chosen = reduce(DataFrame.unionByName, [contexts.withColumn("t", F.explode(F.filter(page, lambda t: _fits(t["when"], F.col("context"))))) for page in literal_pages(templates) or [none]])
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("t.priority").desc(), "t.ordinal"))
     fill = lambda x: rendered(x, F.col("context"))
     return chosen.select("key", F.col("t.id").alias("template_id"), "t.domain", rank.alias("rank"), fill(F.col("t.title")).alias("title"), fill(F.col("t.summary")).alias("summary"), F.transform("t.actions", fill).alias("actions"))

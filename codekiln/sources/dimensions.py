@@ -1,7 +1,7 @@
 """Small dimension tables: rules, templates, algorithms, error entries.
 
 A user's own come from folders of JSON files, read by Spark; the ones that ship
-with the package are read by the driver. All are bounded: MOST_ROWS is checked.
+with the package are read by the driver. Operators meet them page by page.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST_ROWS = 5000
+PAGE_ROWS = 5000
 _DATA = os.path.join(os.path.dirname(__file__), "data")
 
 RULE_SCHEMA = (
@@ -32,10 +32,16 @@ def _shipped(spark: SparkSession, name: str, key: str | None, schema: str) -> Da
     return texts.select(F.from_json("row", schema).alias("row")).select("row.*")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-        raise ValueError(f"a dimension may have {MOST_ROWS} rows")
-    return df
+def literal_pages(dimension: DataFrame) -> list[Column]:
+    """The rows of a dimension in their order as arrays of structs, PAGE_ROWS in each, to be met within the rows of other tables without a join."""
+    pages, held = [], []
+    kind = f"array<{dimension.schema.simpleString()}>"
+    for row in dimension.orderBy("ordinal").toLocalIterator():
+        held.append(row.asDict(recursive=True))
+        if len(held) == PAGE_ROWS:
+            pages.append(held)
+            held = []
+    return [F.from_json(F.lit(json.dumps(page)), kind) for page in [*pages, held] if page]
 
 
 def _from_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -44,8 +50,8 @@ def _from_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     read = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").schema(plain).json(folder)
     key = plain.split(" ", 1)[0]
     rows = read.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at")).filter(F.col(key).isNotNull())
-    ordered = _bounded(rows).orderBy("__file", "__at").drop("__file", "__at").collect()
-    return spark.createDataFrame([r.asDict(recursive=True) | {"ordinal": k} for k, r in enumerate(ordered)], f"{plain}, ordinal int")
+    place = F.row_number().over(Window.orderBy("__file", "__at")) - 1  # all rows in one task: a dimension is small
+    return rows.withColumn("ordinal", place.cast("int")).drop("__file", "__at")
 
 
 def load_rules(spark: SparkSession, folder: str | None = None) -> DataFrame:
@@ -56,14 +62,14 @@ def load_templates(spark: SparkSession, path: str | None = None) -> DataFrame:
     if path is None:
         return _shipped(spark, "templates", "templates", TEMPLATE_SCHEMA)
     read = spark.read.option("multiLine", True).schema(f"templates array<struct<{TEMPLATE_SCHEMA.removesuffix(', ordinal int')}>>").json(path)
-    return _bounded(read.select(F.posexplode("templates").alias("ordinal", "x")).select("x.*", "ordinal"))
+    return read.select(F.posexplode("templates").alias("ordinal", "x")).select("x.*", "ordinal")
 
 
 def load_algorithms(spark: SparkSession, path: str | None = None) -> DataFrame:
     if path is None:
         return _shipped(spark, "algorithms", "algorithms", ALGORITHM_SCHEMA)
     read = spark.read.option("multiLine", True).schema(f"algorithms array<struct<{ALGORITHM_SCHEMA.removesuffix(', ordinal int')}>>").json(path)
-    return _bounded(read.select(F.posexplode("algorithms").alias("ordinal", "x")).select("x.*", "ordinal"))
+    return read.select(F.posexplode("algorithms").alias("ordinal", "x")).select("x.*", "ordinal")
 
 
 def load_error_entries(spark: SparkSession, folder: str, compiler: str | None = None) -> DataFrame:

@@ -360,3 +360,28 @@ def test_spread_keeps_rows(spark):
     assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(r[0] for r in spread(rows).collect()) == list(range(10))
     many = spark.range(100).repartition(9)
     assert spread(many) is many
+
+
+def test_more_rules_than_a_page(spark, monkeypatch):
+    monkeypatch.setattr(dimensions, "PAGE_ROWS", 2)
+    listed = dimensions.load_templates(spark)
+    contexts = spark.createDataFrame([("a", {"risk_class": "risk_high", "nesting": "3", "memory": "1", "loops": "2", "file": "f"})], "key string, context map<string, string>")
+    got = {(r["template_id"], r["rank"]) for r in templates.select_templates(contexts, listed).collect()}
+    monkeypatch.undo()
+    assert got == {(r["template_id"], r["rank"]) for r in templates.select_templates(contexts, listed).collect()} and len(got) > 2
+    assert len(dimensions.literal_pages(listed)) == 1 and dimensions.literal_pages(listed.filter("false")) == []
+
+
+def test_failures_of_ties_and_null_keys(spark):
+    rows = [("a", 1, 1, 0), ("a", 2, 2, 3), ("a", 2, 2, 0), ("a", 3, 3, 0), (None, 1, 1, None), (None, 2, 2, 1), (None, 3, 3, 0), ("b", 5, 5, None)]
+    runs = spark.createDataFrame(rows, "k string, ts int, id int, code int")
+    got = sorted(map(str, (tuple(r) for r in profiling.until_failure(runs, ["k"], ["ts", "id"], "code").collect())))
+    assert got == sorted(map(str, [r for r in rows if r[1] != 3]))
+    assert profiling.until_failure(runs.limit(0), ["k"], ["ts"], "code").count() == 0
+
+
+def test_a_message_logged_by_a_third_of_rows(spark):
+    messages = spark.createDataFrame([(k, "g++", "error", "odd thing" if k % 3 else None) for k in range(60)], "id int, compiler string, type string, message string")
+    entries = spark.createDataFrame([("e", "g++", "error", "odd", 0)], "id string, compiler string, diag_type string, message_pattern string, ordinal int")
+    got = diagnostics.match_messages(messages, entries).collect()
+    assert len(got) == 60 and sum(r["entry_id"] == "e" for r in got) == 40 and sum(r["matcher"] == "fallback" for r in got) == 20
