@@ -41,6 +41,8 @@ _SHOWS = {
     "python": set("def import elif None True False self pass __name__ try: except else: lambda".split()),
     "shell": set("fi then esac done echo #!/bin/sh #!/bin/bash [[ ]]".split()),
 }
+_NAMES = list(_SHOWS)
+_SHOWN_BY = {w: k for k, own in enumerate(_SHOWS.values()) for w in own}
 _OTHER_SCRIPT = re.compile("[Ѐ-ӿ֐-ۿऀ-෿฀-๿぀-ヿ㐀-鿿가-힯]")
 _PARTS = re.compile(r"\n[ \t\r]*\n|^[ \t]*(?:```|~~~)[^\n]*$", re.M)
 _COMMENT_LINE = re.compile(r"\s*(?://|/\*|\*|#(?!\s*(?:include|define|if|ifdef|ifndef|else|elif|endif|pragma|undef|!)\b|!))")
@@ -54,19 +56,29 @@ _SQUEEZE = {
 _AFTERTHOUGHT = re.compile(r"(?:\s|//|#|\.{3}|…|\[\.{3}\]|\[truncated\]|<truncated>|\(truncated\))+\Z")
 
 
-def _evidence(text: str) -> tuple[str, int]:
+def _counts(text: str) -> np.ndarray:
+    """How much of the text shows each of _NAMES."""
+    counts = [0, 0, 0, 0]
+    for w in text.split():
+        if w in _SHOWN_BY:
+            counts[_SHOWN_BY[w]] += 1
+    cpp, javascript, python, shell = counts
+    javascript += text.count("console.log(") + text.count("require(") + text.count("module.exports")
+    python += text.count(":\n") + text.count("print(") + text.count("self.") - text.count(";\n") - text.count("{\n")
+    cpp += text.count("std::") + text.count("vector<")
+    return np.array([cpp, javascript, python, shell])
+
+
+def _evidence(text: str, counts: np.ndarray | None = None) -> tuple[str, int]:
     """cpp, javascript, python or shell and by how much it leads; "braces" for either of the first two, or "", with 0 where nothing shows it."""
-    words = text.split()
-    times = Counter(words)
-    counts = {name: sum(times[w] for w in own) for name, own in _SHOWS.items()}
-    counts["javascript"] += text.count("console.log(") + text.count("require(") + text.count("module.exports")
-    counts["python"] += text.count(":\n") + text.count("print(") + text.count("self.") - text.count(";\n") - text.count("{\n")
-    counts["cpp"] += text.count("std::") + text.count("vector<")
-    counts["shell"] = counts["shell"] * 2 if "then" in times or text.startswith("#!") else 0
-    best = max(counts, key=counts.__getitem__)
-    second = sorted(counts.values())[-2]
-    if counts[best] > 0 and second < counts[best]:
-        return best, counts[best] - max(0, second)
+    found = (_counts(text) if counts is None else counts).tolist()
+    if not (text.startswith("#!") or found[3] and "then" in text.split()):
+        found[3] = 0
+    else:
+        found[3] *= 2
+    order = sorted(found)
+    if order[-1] > max(0, order[-2]):
+        return _NAMES[found.index(order[-1])], order[-1] - max(0, order[-2])
     return ("braces" if ";\n" in text or "{\n" in text or text.rstrip().endswith((";", "}")) else ""), 0
 
 
@@ -99,7 +111,7 @@ def clauses_of(text: str) -> list[Clause]:
     for part in _PARTS.split(text.replace("\r\n", "\n")):
         if not part or part.isspace():
             continue
-        if _COMMENT_LINE.match(part) and all(_COMMENT_LINE.match(line) or not line.strip() or part.lstrip().startswith("/*") and "*/" not in part[: part.find(line)] for line in part.split("\n")):
+        if _COMMENT_LINE.match(part) and _all_comments(part):
             kind = "comment"
         else:
             words = len(part.split())
@@ -113,6 +125,16 @@ def clauses_of(text: str) -> list[Clause]:
     return out
 
 
+def _all_comments(part: str) -> bool:
+    """Whether every line of the block is a comment or within one that the block opens with."""
+    inside = part.lstrip().startswith("/*")
+    for line in part.split("\n"):
+        if not (inside or _COMMENT_LINE.match(line) or not line.strip()):
+            return False
+        inside = inside and "*/" not in line
+    return True
+
+
 def _said(part: str) -> list[str]:
     """The sentences of a block of prose or comments, without comment signs."""
     plain = _COMMENT_SIGNS.sub(" ", part).strip()
@@ -173,8 +195,9 @@ def described(prompt: str, response: str) -> Described:
     """The clauses of a response and their features."""
     clauses = clauses_of(response)
     code = "\n".join(c.text for c in clauses if c.kind == "code")
+    counts = [_counts(c.text) if c.kind == "code" else None for c in clauses]
     spoken = code_language(prompt)
-    written = code_language(code) if code else ""
+    written = _evidence(code, sum(x for x in counts if x is not None))[0] if code else ""
     source = squeezed(prompt, spoken) if code else ""
     opened = False
     if code and written in ("cpp", "javascript", "python", "braces"):
@@ -188,8 +211,8 @@ def described(prompt: str, response: str) -> Described:
     bare = last_code < 0
     for k, c in enumerate(clauses):
         speech = c.kind != "code"
-        letters = sum(map(len, _WORD.findall(c.text))) if speech else 0
-        own, lead = ("", 0) if speech else _evidence(c.text)
+        foreign = speech and not c.text.isascii() and len(_OTHER_SCRIPT.findall(c.text)) > 0.2 * sum(map(len, _WORD.findall(c.text)))
+        own, lead = ("", 0) if speech else _evidence(c.text, counts[k])
         differs = other_code(spoken, own)
         body = "" if speech else squeezed(c.text, spoken)
         rows[k] = [
@@ -200,7 +223,7 @@ def described(prompt: str, response: str) -> Described:
             not bare,
             bare,
             k == 0 and speech,
-            speech and len(_OTHER_SCRIPT.findall(c.text)) > 0.2 * letters,
+            foreign,
             differs,
             differs and lead > 2,
             bool(own) and own == spoken and lead > 0,
