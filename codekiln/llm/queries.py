@@ -134,6 +134,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": " union all ".join(f"select pair_id, '{f}' as field_name from code_pairs where strlen({f}) > 3000" for f in FIELDS),
         "p5_found": f"with {_SHINGLES} select pair_id_1, pair_id_2 from likeness where l >= 0.6",
+        "p5_groups": f"""with recursive {_SHINGLES}, named as (select pair_id, md5(string_agg(s, '|' order by s)) as set_name from shingles group by 1), classes as (select pair_id, min(pair_id) over (partition by set_name) as class_id from named),
+            linked as (select distinct x.class_id as a, y.class_id as b from likeness join classes x on x.pair_id = pair_id_1 join classes y on y.pair_id = pair_id_2 where l >= 0.6 and x.class_id <> y.class_id), ways as (select a, b from linked union select b, a from linked),
+            reached(rep, id) as (select class_id, class_id from classes union select rep, b from reached join ways on id = a), groups as (select rep, min(id) as group_id from reached group by 1), counted as (select a, count(*) as links from ways group by 1)
+            select pair_id, class_id, group_id, coalesce(links, 0) as links from classes join groups on rep = class_id left join counted on a = class_id""",
         "p6_found": f"with {_SHINGLES}, {_SIDES} select pair_id_1, pair_id_2 from met",
         "p6_report": f"""with {_SHINGLES}, {_SIDES}, links as (select o.eval_id, count(*) as links, count(*) filter (t.performance_risk = e.performance_risk) as agree, count(*) filter (t.performance_risk is null or e.performance_risk is null) as unlabelled
             from met o join sides t on t.pair_id = train_id join sides e on e.pair_id = eval_id group by 1)
