@@ -122,7 +122,13 @@ _MATCHED = f"""msgs as (select diag_id, compiler, lower(diag_type) as type, trim
 _SUMMARY = "upper(x[1]) || x[2:]"
 _ACTION = "case when regexp_matches(n, 'add|remove|replace|change|convert|declare|include|pass|use|move|keep|provide|adjust|define|link|compile|cast') then 'edit' when regexp_matches(n, 'check|verify|confirm|inspect|ensure|review|trace') then 'check' when regexp_matches(n, 'read|open|consult|reference|documentation|docs') then 'read' else 'check' end"
 
+_SAME = f"({_norm('y')} = '' or {_norm('x[1]')} = '' or {_norm('y')} = {_norm('x[1]')} or {_overlap('y', 'x[1]')} >= 0.8 or {_similar('y', 'x[1]')} >= 0.86)"
+
 SQL = {
+    "quickfix_dedupe": f"""with r as (select file_id, diag_id, message, trim(regexp_replace(message, '\\s+', ' ', 'g')) as c from (select distinct * from diagnostics where file_id is not null and message is not null)),
+        q as (select file_id, diag_id, message, upper(c[1]) || c[2:] || case when regexp_matches(c, '[.!?]$') then '' else '.' end as fix from r where c <> ''), l as (select file_id, list([fix] order by diag_id, message) as xs from q group by file_id),
+        k as (select file_id, list_reduce(xs, lambda kept, x: case when len(list_filter(kept, lambda y: {_SAME})) > 0 then kept else list_concat(kept, x) end) as kept from l)
+        select file_id, cast(unnest(range(len(kept))) as int) as kept_no, unnest(kept) as message from k""",
     "diag_parse": f"with {_LINES} {_PARSED}",
     "diag_counts": f"with {_LINES}, p as ({_PARSED}) select file, type, count(*) as n, count(distinct message) as messages from p group by file, type",
     "diag_match": f"with {_MATCHED} select diag_id, entry_id, matcher, round(score, 9) as score from matched",
