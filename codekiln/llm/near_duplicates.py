@@ -30,8 +30,8 @@ class NearDuplicateParams:
     """threshold and words: likeness of distinct runs of `words` words. A pair at the
     threshold has no common band with probability (1 - threshold^rows)^bands, and is
     pruned with at most `miss` at each of the signature's batches. `crowd`: classes of a
-    band above which its pairs are told apart by rare shingles, too. `block`: rows that
-    are compared at a time. `expand`: see linked_members."""
+    band above which its pairs are told apart by rare shingles, too; up to there comparing
+    all costs less than shingling again. `block`: rows that are compared at a time. `expand`: see linked_members."""
 
     words: int = 5
     threshold: float = 0.8
@@ -39,7 +39,7 @@ class NearDuplicateParams:
     rows: int = 3
     batch: int = 16
     miss: float = 1e-6
-    crowd: int = 2000
+    crowd: int = 10_000
     block: int = 500
     expand: int | None = None
 
@@ -145,8 +145,13 @@ def _survivors(buckets: DataFrame, params: NearDuplicateParams) -> DataFrame:
     return placed.mapInPandas(run, "id_1 long, id_2 long").distinct()
 
 
-def _keys(classes: DataFrame, texts: DataFrame, params: NearDuplicateParams) -> DataFrame:
-    """id, key: classes that share a key are to be compared.
+def _shared(keys: DataFrame) -> DataFrame:
+    """key, n of the keys that several classes have."""
+    return materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+
+
+def _keys(classes: DataFrame, texts: DataFrame, params: NearDuplicateParams) -> tuple[DataFrame, DataFrame]:
+    """id, key: classes that share a key are to be compared; and key, n of the shared ones.
 
     Keys are those of bands, but for bands with more than params.crowd classes, such as
     those of texts with a long common part. The classes of all such bands get their
@@ -154,14 +159,16 @@ def _keys(classes: DataFrame, texts: DataFrame, params: NearDuplicateParams) ->
     nothing is lost, and what many have in common isn't rare.
     """
     keys = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    crowds = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > params.crowd).select("key"), "crowds")
+    shared = _shared(keys)
+    crowds = shared.filter(F.col("n") > params.crowd).select("key")
     if crowds.isEmpty():
-        return keys
+        return keys, shared
     crowded = salted_join(keys, crowds, ["key"], "id").select("id").distinct()
-    rows = spread(texts.join(crowded, "id").select("id", F.lit(0).alias("side"), "text"))
-    rows = materialize(rows, "crowded")
+    rows = materialize(texts.join(crowded, "id").select("id", F.lit(0).alias("side"), "text"), "crowded")
+    rows = spread(rows)
     rare = prefixes(rows, shingle_counters(rows.select("text"), params.words), params.words, params.threshold)
-    return keys.join(crowds, "key", "left_anti").unionByName(rare.select("id", F.explode("tokens").alias("key")))
+    keys = materialize(keys.join(crowds, "key", "left_anti").unionByName(rare.select("id", F.explode("tokens").alias("key"))), "keys")
+    return keys, _shared(keys)
 
 
 def banded_candidates(classes: DataFrame, texts: DataFrame, params: NearDuplicateParams) -> DataFrame:
@@ -170,10 +177,10 @@ def banded_candidates(classes: DataFrame, texts: DataFrame, params: NearDuplicat
     A key with more than params.block classes is compared block by block, in as many
     tasks; pairs are pruned where they are made.
     """
-    keys = _keys(classes, texts, params)
-    crowds = keys.groupBy("key").agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = salted_join(keys, crowds, ["key"], "id", salts=4).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    sent = shared.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keys, shared = _keys(classes, texts, params)
+    crowds = shared.select("key", F.ceil(F.col("n") / params.block).cast("int").alias("blocks"))
+    placed = salted_join(keys, crowds, ["key"], "id", salts=4).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    sent = placed.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = sent.select("key", "id", F.least("own", "other").alias("block_1"), F.greatest("own", "other").alias("block_2"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     bodies = classes.select(F.col("rep").alias("id"), "signature")
     return _survivors(placed.join(bodies, "id"), params)
