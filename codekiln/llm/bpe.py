@@ -175,9 +175,11 @@ def encode_texts(texts: pd.Series, merges: Merges, known: dict[str, np.ndarray],
     """The ids of each text; null and empty texts have none. `known` keeps short words that were encoded before."""
     parts = [pattern.findall(t) if t else [] for t in texts]
     new = [w for w in {w for p in parts for w in p} if w not in known]
-    fresh = dict(zip(new, encode_words([w.encode() for w in new], merges), strict=True))
-    out = [np.concatenate([known[w] if w in known else fresh[w] for w in p]) if p else np.empty(0, dtype=np.int32) for p in parts]
-    known.update((w, own) for w, own in fresh.items() if len(w) <= _LONG)
+    known.update(zip(new, encode_words([w.encode() for w in new], merges), strict=True))
+    out = [np.concatenate([known[w] for w in p]) if p else np.empty(0, dtype=np.int32) for p in parts]
+    for w in new:
+        if len(w) > _LONG:
+            del known[w]
     if len(known) > _WORDS_KEPT:
         known.clear()
     return out
