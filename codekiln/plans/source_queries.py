@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codekiln.functions import text as t
-from codekiln.operators import refactor, simulate, symbols, workspace
+from codekiln.operators import refactor, requests, simulate, symbols, workspace
 from codekiln.plans.catalog import table
 from codekiln.sources import files as fs
 from codekiln.sources.history import json_events
 
 
+ALWAYS = ["Read the message.", "Compile again."]
+
+
 def _paths(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "files").select(F.concat_ws("/", "repo", "file_path").alias("path"))
 
@@ -109,11 +112,25 @@ def text_transforms(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.length(t.truncated(text, 300)).alias("cut"), F.length(t.largest_fence(text)).alias("fenced"), t.balance(text, "(", ")").alias("brackets"), F.length(t.angle_escaped(text)).alias("escaped"))
 
 
+def request_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests for timed runs that events stand for, and what is wrong with them."""
+    more = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(', "compiler": "'), "event_type", F.lit('"'))).otherwise(""), F.when(F.col("event_id") % 7 == 0, ', "extra": 1').otherwise("")
+    payload = F.concat(F.lit('{"runs": '), F.col("event_id") % 60, F.lit(', "warmupRuns": '), F.col("user_id") % 13, *more, F.when(F.col("event_id") % 11 != 0, "}").otherwise(""))
+    rows = table(spark, folder, "events").select("event_id", payload.alias("payload"))
+    return requests.checked_requests(rows, "payload", "benchmark").select("event_id", F.array_join("problems", "; ").alias("problems"))
+
+
+def argument_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """The fixes of each entry behind two that all have, each once."""
+    fixes = table(spark, folder, "error_db").select("id", requests.merged_arguments(ALWAYS, F.col("quick_fixes")).alias("xs"))
+    return fixes.select("id", F.posexplode("xs").alias("place", "argument"))
+
+
 def pair_generate(spark: SparkSession, folder: str) -> DataFrame:
     return fs.generate_pairs(spark)
 
 
-QUERIES = [project_detect, workspace_tree, path_rename, tab_upsert, diag_files, line_depths, symbol_table, symbol_visibility, included_headers, completions, trace_summary, heap_running, heap_freed, refactor_diff, format_code, history_json_tolerant, text_transforms, pair_generate]
+QUERIES = [project_detect, workspace_tree, path_rename, tab_upsert, diag_files, line_depths, symbol_table, symbol_visibility, included_headers, completions, trace_summary, heap_running, heap_freed, refactor_diff, format_code, history_json_tolerant, text_transforms, request_check, argument_merge, pair_generate]
 
 _PATHS = "p as (select distinct replace(concat_ws('/', repo, file_path), '\\', '/') as path from files)"
 _UNIFIED = "regexp_replace(replace({0}, '/', '\\'), '(?i)^(?:.*\\\\)?workspace\\\\', '')"
@@ -142,6 +159,10 @@ SQL = {
         count(*) filter (kind = 'allocate' and amount is null) {_SO_FAR} as unknown_allocations, count(*) filter (kind = 'free' and amount is null) {_SO_FAR} as unknown_frees from h)
         select event_id, allocations, frees, greatest(0, allocations - frees) as live, cast(ba as bigint) as bytes_allocated, cast(bf as bigint) as bytes_freed, cast(greatest(0, ba - bf) as bigint) as bytes_live, unknown_allocations, unknown_frees from r""",
     "heap_freed": f"with {_HEAP}, l as (select *, lag(kind) over w as lk, lag(amount) over w as la from h window w as (partition by user_id, name order by ts, event_id)) select event_id, case when lk = 'allocate' then la end as freed from l where kind = 'free'",
+    "request_check": """select event_id, case when event_id % 11 = 0 then 'no object' else array_to_string(list_filter([case when event_id % 5 = 0 then 'compiler: out of range' end, case when event_id % 7 = 0 then 'extra: unknown' end,
+        case when event_id % 60 not between 1 and 50 then 'runs: out of range' end, case when user_id % 13 > 10 then 'warmupRuns: out of range' end], lambda x: x is not null), '; ') end as problems from events""",
+    "argument_merge": f"""with l as (select id, list_concat({ALWAYS}, coalesce(quick_fixes, [])) as xs from error_db), e as (select id, unnest(xs) as argument, unnest(range(len(xs))) as i from l), m as (select id, argument, min(i) as i from e group by 1, 2)
+        select id, cast(row_number() over (partition by id order by i) - 1 as int) as place, argument from m""",
     "history_json_tolerant": "select event_id, case when event_id % 5 <> 0 then cast(json_extract(props, '$.k') as int) end as k from events",
     "text_transforms": """with s as (select doc_id, text, regexp_extract_all(text, '(?s)```[A-Za-z+#]*\\r?\\n(.*?)```', 1) as blocks from documents),
         b as (select *, (select arg_max(x, (length(x), -i)) from (select unnest(blocks) as x, generate_subscripts(blocks, 1) as i)) as best from s)
