@@ -60,13 +60,13 @@ def cross_split_links(docs: DataFrame, id_col: str, text_col: str, split_col: st
     counters = shingle_counters(rows.select("text"), params.words, params.counter_bits)
     signed = prefixes(rows.withColumn("side", F.col("evaluation").cast("int")), counters, params.words, params.threshold)
     signed = materialize(signed.withColumn("evaluation", F.col("side") == 1).drop("side"), "prefixes")
-    classes = signed.groupBy("evaluation", "set_1", "set_2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    classes = signed.groupBy("evaluation", "set_1", "set_2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("light").alias("light"))
     classes = materialize(classes, "classes")
     several = classes.filter("copies > 1").select("evaluation", "set_1", "set_2", "rep")
     members = salted_join(signed.select("id", "evaluation", "set_1", "set_2"), several, ["evaluation", "set_1", "set_2"], "id", "left")
     members = materialize(members.select("evaluation", F.coalesce("rep", "id").alias("rep"), "id").distinct(), "members")
-    sides = (classes.filter(side).select(F.col("rep").alias("id"), "n", "tokens") for side in ("not evaluation", "evaluation"))
-    met = matching_prefixes(*sides, params.threshold)
+    sides = (classes.filter(side).select(F.col("rep").alias("id"), "n", "tokens", "light") for side in ("not evaluation", "evaluation"))
+    met = matching_prefixes(*sides, params.threshold, most=float(counters.max(initial=0)))
     return CrossSplitLinks(members, verify_pairs(met, rows.select("id", "text"), params.words, params.threshold))
 
 
