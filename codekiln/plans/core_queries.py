@@ -61,12 +61,13 @@ def _rows(kind: str, parent: str, source: str, column: str) -> str:
     return f"select analysis_id, '{kind}' as child_kind, {parent} as parent_no, generate_subscripts({column}, 1) - 1 as child_no, unnest({column}) as item from {source}"
 
 
-P2_SQL = f"""
+P2_PARTS = f"""
     with ranked as (select analysis_id, payload, row_number() over (partition by analysis_id order by received_at desc nulls last, payload desc nulls last) as k from analyses where analysis_id is not null),
     plain as (select analysis_id, case when json_valid(payload) then cast(payload as json) end as p from ranked where k = 1),
     docs as (select analysis_id, {_object("p")} as d from plain),
     parts as (select analysis_id, {_object("json_extract(d, '$.semanticChecks')")} as sc, {_object("json_extract(d, '$.codeSmells')")} as cs, {_object("json_extract(d, '$.features')")} as fe,
-        {_object("case when coalesce(json_type(json_extract(d, '$.complexityEstimate')), 'NULL') = 'NULL' then json_extract(d, '$.complexity') else json_extract(d, '$.complexityEstimate') end")} as ce from docs where d is not null),
+        {_object("case when coalesce(json_type(json_extract(d, '$.complexityEstimate')), 'NULL') = 'NULL' then json_extract(d, '$.complexity') else json_extract(d, '$.complexityEstimate') end")} as ce from docs where d is not null)"""
+P2_SQL = f"""{P2_PARTS},
     lists as (select analysis_id, {_elements("json_extract(sc, '$.issues')")} as si, {_elements("json_extract(cs, '$.issues')")} as ci, {_elements("json_extract(" + _object("json_extract(fe, \'$.recursion\')") + ", \'$.recursiveFunctions\')")} as rf,
         {_elements("json_extract(" + _object("json_extract(ce, \'$.time\')") + ", \'$.notes\')")} as tn, {_elements("json_extract(" + _object("json_extract(ce, \'$.space\')") + ", \'$.notes\')")} as sn from parts),
     first as ({" union all ".join(_rows(kind, "-1", "lists", column) for kind, column in (("semantic_issue", "si"), ("code_smell", "ci"), ("recursive_function", "rf"), ("time_note", "tn"), ("space_note", "sn")))}),
@@ -79,4 +80,9 @@ P2_SQL = f"""
 
 def oracle_sql() -> dict[str, str]:
     tables = f"select child_kind as table_tag, count(*) as n_rows, count(distinct (analysis_id, child_kind, parent_no, case when parent_no < 0 then 0 else 1 end)) as n_parents from ({P2_SQL}) group by 1"
-    return {"p2_found": P2_SQL, "p2_tables": tables} | {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    scope = "json_extract_string({}, '$.scope')"
+    time, space = (_object(f"json_extract(ce, '$.{x}')") for x in ("time", "space"))
+    of = [("semantic_checks", "sc", scope.format("sc")), ("code_smells", "cs", scope.format("cs")), ("features", "fe", scope.format("fe")), ("complexity_estimate", "ce", scope.format("ce")), ("time_complexity", time, "null"), ("space_complexity", space, "null")]
+    rows = " union all ".join(f"select '{tag}' as table_tag, {own} as own, {said} as said from parts" for tag, own, said in of)
+    sections = f"{P2_PARTS} select table_tag, count(*) as n_rows, count(said) as n_scopes from (select 'analysis' as table_tag, d as own, null as said from docs union all {rows}) where own is not null group by 1"
+    return {"p2_found": P2_SQL, "p2_tables": tables, "p2_section_tables": sections} | {name: sql for m in MODULES for name, sql in m.SQL.items()}
