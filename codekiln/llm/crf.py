@@ -7,6 +7,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Clauses, padding included, that are decoded together.
+_CELLS = 100_000
+
+
 @dataclass(frozen=True)
 class Field:
     """weights: features x labels. moves: label x next label. first: label of the first clause."""
@@ -66,11 +70,12 @@ def fit(sequences: list[np.ndarray], labels: list[np.ndarray], n_labels: int, st
 
 
 def decode(field: Field, scored: list[np.ndarray]) -> list[np.ndarray]:
-    """The most probable labels of each sequence of scores (clauses x labels); those of like length are decoded together."""
+    """The most probable labels of each sequence of scores (clauses x labels); those of like length are decoded together, about _CELLS clauses at a time."""
     out: list[np.ndarray] = [np.empty(0, dtype=int)] * len(scored)
     order = sorted((k for k in range(len(scored)) if len(scored[k])), key=lambda k: len(scored[k]))
-    for at in range(0, len(order), 256):
-        some = order[at : at + 256]
+    while order:
+        n = next((n for n in range(1, len(order)) if (n + 1) * len(scored[order[n]]) > _CELLS), len(order))
+        some, order = order[:n], order[n:]
         lengths = np.array([len(scored[k]) for k in some])
         scores = _placed(lengths, np.concatenate([scored[k] for k in some]))
         best = scores[:, 0] + field.first

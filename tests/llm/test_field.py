@@ -47,3 +47,19 @@ def test_refusals_of_a_language_that_was_left_out(monkeypatch):
 def test_scores_are_those_of_the_wide_rows(field):
     made = clauses.described(CPP, "Sorry, no.\n\nPlease ask a maintainer.")
     assert np.allclose(made.scores(field), made.wide() @ field.weights, atol=1e-4)
+
+
+def test_labels_do_not_depend_on_what_is_decoded_together(field, monkeypatch):
+    from codekiln.llm import crf
+
+    found, _ = clauses._training_sample(seed=3, rows=120)
+    whole = clauses.label_clauses(field, found)
+    alone = [clauses.label_clauses(field, [d])[0] for d in found]
+    monkeypatch.setattr(crf, "_CELLS", 7)
+    few = clauses.label_clauses(field, found)
+    assert all((a == b).all() and (a == c).all() for a, b, c in zip(whole, alone, few, strict=True))
+
+
+def test_a_very_long_answer(field):
+    program = "int a = 1;\n\n" * 20_000
+    assert defects_of([CPP, CPP], [program, "No."], field)[0] is None
