@@ -203,11 +203,11 @@ def included_headers(files: DataFrame, key: str, code: str, everything: list[str
 
 
 def ranked_completions(offers: DataFrame, prefix: Column) -> DataFrame:
-    """offers (label, source) whose label starts with the prefix, letter case aside; each label once, user's before members before library's, then by label."""
+    """offers (label, source) whose label starts with the prefix, letter case aside; each label once, user's before members before library's. sort_text gives the order to show them in; nothing is sorted over all rows."""
     weight = F.when(F.col("source") == "user", "a").when(F.col("source") == "member", "b").otherwise("c")
     fitting = offers.filter(F.lower("label").startswith(F.lower(prefix))).withColumn("sort_text", F.concat(weight, "label"))
     first = F.row_number().over(Window.partitionBy("label").orderBy("sort_text", "source"))
-    return fitting.withColumn("k", first).filter("k = 1").drop("k").orderBy("sort_text")
+    return fitting.withColumn("k", first).filter("k = 1").drop("k")
 
 
 def member_offers(uses: DataFrame, declared: DataFrame, members: DataFrame, key: str) -> DataFrame:
