@@ -30,6 +30,8 @@ PATTERNS = {
     "semantic_high_severity_count": rf"{_B}null{_E}|->next->next|delete\s+\w+;\s*\*\w+",
     "void_pointers": rf"{_B}void\s*\*",
 }
+#: Letters and digits of other scripts; they are parts of words like those of ASCII, so counts take each for an x.
+OTHER_LETTERS = r"[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]"
 NOT_FUNCTIONS = ["if", "while", "for", "switch", "catch", "else"]
 FUNCTION_HEAD = rf"{_B}([a-zA-Z_]\w*)\s*\([^)]*\)\s*\{{"
 LINE_WITH_HEAD = rf"{_B}\w+\s*\([^)]*\)\s*\{{"
@@ -81,7 +83,8 @@ def long_functions(code: Column, most: int = 40) -> Column:
 def text_features(files: DataFrame, key: str, code: str) -> DataFrame:
     """key and the 28 columns of the feature vector, doubles in their order. Null code counts as empty."""
     rows = files.select(F.col(key), F.coalesce(F.col(code), F.lit("")).alias("code"))
-    rows = rows.withColumns({n: F.regexp_count("code", F.lit(p)) for n, p in PATTERNS.items()} | {"names": function_names(F.col("code")), "nesting_max_depth": brace_depth(F.col("code")), "code_smell_high_severity_count": long_functions(F.col("code"))})
+    rows = rows.withColumn("plain", F.regexp_replace("code", OTHER_LETTERS, "x"))
+    rows = rows.withColumns({n: F.regexp_count("plain", F.lit(p)) for n, p in PATTERNS.items()} | {"names": function_names(F.col("code")), "nesting_max_depth": brace_depth(F.col("code")), "code_smell_high_severity_count": long_functions(F.col("code"))})
     rows = rows.withColumns({"function_count": F.size("names"), "recursion_count": recurring_names(F.col("code"), F.col("names"))})
     c = F.col
     rows = rows.withColumns(

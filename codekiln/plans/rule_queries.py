@@ -136,7 +136,7 @@ QUERIES = [feature_text, brace_depth, func_names_recursion, long_function_lines,
 
 def _count(pattern: str) -> str:
     plain = pattern.replace("(?<![A-Za-z0-9_])", "\\b").replace("(?![A-Za-z0-9_])", "\\b")
-    return f"len(regexp_extract_all(code, '{plain}'))"
+    return f"len(regexp_extract_all(plain, '{plain}'))"
 
 
 _HEAD = tf.FUNCTION_HEAD.replace("(?<![A-Za-z0-9_])", "\\b")
@@ -151,7 +151,7 @@ def _depths(source: str, key: str) -> str:
     lows as (select {key}, s - least(0, min(s) over (partition by {key} order by i)) as open from sums), depths as (select {key}, greatest(0, max(open)) as depth from lows group by {key})"""
 
 
-_FEATURES = f"""src as (select file_id, coalesce(code, '') as code from files), {_depths('src', 'file_id')},
+_FEATURES = f"""src as (select file_id, coalesce(code, '') as code, regexp_replace(coalesce(code, ''), '{tf.OTHER_LETTERS}', 'x', 'g') as plain from files), {_depths('src', 'file_id')},
     f0 as (select s.file_id, s.code, {_NAMES} as names, cast(coalesce(d.depth, 0) as int) as nesting_max_depth, {', '.join(f'{_count(p)} as {n}' for n, p in tf.PATTERNS.items())} from src s left join depths d using (file_id)),
     f1 as (select *, {_RECURRING} as recursion_count, len(names) as function_count, for_all + loops_while + loops_do_while as loops_total, greatest(0, for_all - loops_range_for) as loops_for,
         pointers_declarations + pointers_dereferences + pointers_address_of as pointers_total, stl_container_refs + stl_algorithm_calls + stl_iterator_usage as stl_total,

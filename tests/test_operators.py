@@ -385,3 +385,9 @@ def test_a_message_logged_by_a_third_of_rows(spark):
     entries = spark.createDataFrame([("e", "g++", "error", "odd", 0)], "id string, compiler string, diag_type string, message_pattern string, ordinal int")
     got = diagnostics.match_messages(messages, entries).collect()
     assert len(got) == 60 and sum(r["entry_id"] == "e" for r in got) == 40 and sum(r["matcher"] == "fallback" for r in got) == 20
+
+
+def test_letters_of_other_scripts_are_parts_of_words(spark):
+    rows = spark.createDataFrame([("a", "newé new énew new"), ("b", "new new новыйnew new数 new(数組*x)"), ("c", None)], "id string, code string")
+    got = {r["id"]: (r["alloc_heap_new"], r["pointers_declarations"]) for r in text_features.text_features(rows, "id", "code").collect()}
+    assert got == {"a": (2.0, 0.0), "b": (3.0, 1.0), "c": (0.0, 0.0)}
